@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import decontaminate, mixing, url_filter
+from vexel.llm import decontaminate, embedding_dedup, jaccard_join, mixing, url_filter
 from vexel.llm.common import table
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,6 +18,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.default_list(spark))
 
@@ -72,9 +80,39 @@ FROM o JOIN tg USING (src)
 """
 
 
+#: Exact: all pairs that share a shingle, and the components of the similar ones.
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '{WORD_SQL}') AS w FROM documents),
+n AS (SELECT w, min(doc_id) AS node, count(*) AS copies FROM d WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT DISTINCT node, list_slice(w, i, i + 4) AS g FROM n, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS i) t),
+c AS (SELECT node, count(*) AS k FROM s GROUP BY node),
+p AS (SELECT a.node AS u, b.node AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.node < b.node GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN c x ON x.node = u JOIN c y ON y.node = v WHERE CAST(p.k AS DOUBLE) / (x.k + y.k - p.k) >= 0.8),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT node, node AS root FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node),
+cls AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+lk AS (SELECT u AS node, sum(copies) AS k FROM e JOIN n ON n.node = e.v GROUP BY u),
+o AS (SELECT n.w, class_id, CAST(coalesce(lk.k, 0) + copies - 1 AS BIGINT) AS n_links FROM n JOIN cls USING (node) LEFT JOIN lk USING (node))
+SELECT d.doc_id, coalesce(o.class_id, d.doc_id) AS class_id, coalesce(o.n_links, 0) AS n_links, coalesce(o.class_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN o ON d.w = o.w
+"""
+
+#: Exact: all pairs of a label.
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.node),
+c AS (SELECT node AS vec_id, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op5_url_filter, op9_mixing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_decontaminate, op5_url_filter, op7_embedding_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_url_filter": op5_sql(), "op9_mixing": OP9_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": op5_sql(), "op9_mixing": OP9_SQL}
