@@ -6,6 +6,7 @@ import re
 import tempfile
 
 import pyspark.sql.functions as F
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Lower-cased words: ASCII letters and digits, and everything beyond ASCII.
@@ -14,7 +15,6 @@ WORDS = re.compile(WORD_CLASS)
 #: Tokens: runs without ASCII white space.
 TOKEN_CLASS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(-1))
 
 
+def lower_az(text: str) -> str:
+    """A-Z lower-cased and nothing else; positions stay."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def word_list(text: str | None) -> list[str]:
-    return WORDS.findall(text.translate(ASCII_LOWER)) if text else []
+    return WORDS.findall(lower_az(text)) if text else []
+
+
+def bounded_sample(df: DataFrame, label: str, per_label: int, *keys: str) -> DataFrame:
+    """About `per_label` rows of each label (all where there are fewer), chosen by a hash of the key columns."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    if not counts:
+        return df
+    parts = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))]
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / float(1 << 30)
+    return df.where(place < F.element_at(F.create_map(*parts), F.col(label)))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +61,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder; what follows reads it from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of df and more fields; that of df stays."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out

@@ -23,7 +23,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import ASCII_LOWER, WORDS, word_list
+from vexel.llm.common import WORDS, lower_az, word_list
 
 N = 10
 #: Windows in one broadcast: about 100 bytes each.
@@ -139,7 +139,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, shard_windows:
 def without_spans(text: str, hit: np.ndarray) -> str:
     """The text without the runs of hit words and what stands between the words of a run."""
     out, end, last = [], 0, -2
-    for i, m in enumerate(WORDS.finditer(text.translate(ASCII_LOWER))):  # translate keeps positions
+    for i, m in enumerate(WORDS.finditer(lower_az(text))):
         if hit[i]:
             out.append(text[end : m.start()] if last != i - 1 else "")
             end, last = m.end(), i

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import decontaminate, embedding_dedup, jaccard_join, mixing, url_filter
+from vexel.llm import decontaminate, embedding_dedup, jaccard_join, language_id, mixing, toxicity, url_filter
 from vexel.llm.common import table
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,6 +18,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,7 +119,7 @@ SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, component_id, comp
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_decontaminate, op5_url_filter, op7_embedding_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op5_url_filter, op7_embedding_dedup, op8_toxicity, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
