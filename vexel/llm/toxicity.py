@@ -32,8 +32,9 @@ TOXIC, CLEAN = 4000, 8000
 PREFIXES = (3, 4, 5, 6)
 #: Words and beginnings are numbered by a 31-bit hash.
 MASK = (1 << 31) - 1
-#: A voter is in this many toxic texts of the sample at least, with this precision at least.
-LEAST_SUPPORT, LEAST_PRECISION = 3, 0.985
+#: A voter is in this many toxic texts of the sample at least, with this precision at least, and in one clean text and this
+#: share of its toxic ones at most.
+LEAST_SUPPORT, LEAST_PRECISION, STRAY = 3, 0.9, 0.015
 VOTES_EACH, MOST_VOTERS = 4, 400
 FEATURES = 1024
 THRESHOLD = 0.7
@@ -76,7 +77,7 @@ def choose_voters(rows: list[np.ndarray], toxic: np.ndarray, width: int) -> np.n
     """Columns of the voters, most useful first; rows hold the columns (below width) of each text."""
     pos = np.bincount(np.concatenate([r for r, y in zip(rows, toxic) if y]), minlength=width)
     neg = np.bincount(np.concatenate([r for r, y in zip(rows, toxic) if not y] or [np.zeros(0, np.int32)]), minlength=width)
-    able = (pos >= LEAST_SUPPORT) & (pos >= LEAST_PRECISION * (pos + neg + 0.02))
+    able = (pos >= LEAST_SUPPORT) & (pos >= LEAST_PRECISION * (pos + neg)) & (neg <= 1 + STRAY * pos)
     held = [r[able[r]] for r, y in zip(rows, toxic) if y]
     flat, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(r) for r in held])
     need, chosen, used = np.full(len(held), VOTES_EACH), [], np.zeros(width, dtype=bool)
