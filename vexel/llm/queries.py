@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import decontaminate, embedding_dedup, jaccard_join, language_id, mixing, toxicity, url_filter
+from vexel.llm import decontaminate, embedding_dedup, jaccard_join, language_id, licenses, mixing, toxicity, url_filter
 from vexel.llm.common import table
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,6 +22,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -118,9 +122,35 @@ SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, component_id, comp
 """
 
 
+def op6_sql() -> str:
+    """The canonical form in DuckDB, for the corpus and for the known texts alike."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def lines(c: str) -> str:
+        t = f"translate({c}, {AZ})"
+        for a, b in licenses.SPELLINGS:
+            t = f"replace({t}, {quoted(a)}, {quoted(b)})"
+        t = rf"regexp_replace({t}, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+        drop = r"'^(copyright|©|c) .*(\d{4}|reserved|holder|author)|^all rights reserved$|^copyright$'"
+        return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {drop}))"
+
+    rows = [(k, "true", t) for k, t in licenses.TEXTS.items()] + [(k, e, n) for k, ns in licenses.NOTICES.items() for n in ns for e in ("true", "false")]
+    values = ", ".join(f"({quoted(k)}, {e}, {quoted(t)})" for k, e, t in rows)
+    return f"""
+WITH k AS (SELECT l, e, md5(array_to_string({lines('t')}, ' ')) AS h FROM (VALUES {values}) v(l, e, t)),
+w AS (SELECT h, min(l) AS license FROM k WHERE e GROUP BY h), n AS (SELECT DISTINCT h, l FROM k WHERE NOT e),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({lines('text')}, []) AS x FROM documents),
+f AS (SELECT r, string_agg(DISTINCT l, ',' ORDER BY l) AS notices FROM (SELECT r, md5(unnest(x)) AS h FROM d) u JOIN n USING (h) GROUP BY r),
+g AS (SELECT r, doc_id, CASE WHEN len(x) > 0 THEN md5(array_to_string(x, ' ')) END AS digest FROM d)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM g LEFT JOIN w ON g.digest = w.h LEFT JOIN f USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op5_url_filter, op7_embedding_dedup, op8_toxicity, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op5_url_filter, op6_license_scan, op7_embedding_dedup, op8_toxicity, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": op5_sql(), "op9_mixing": OP9_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": op5_sql(), "op6_license_scan": op6_sql(), "op9_mixing": OP9_SQL}
