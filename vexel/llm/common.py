@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyspark.sql.functions as F
 import pyspark.sql.types as T
@@ -69,3 +70,10 @@ def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     for name, kind in kinds.items():
         out = out.add(name, kind)
     return out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder, and read again."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vexel.llm import decontaminate, embedding_dedup, jaccard_join, language_id, licenses, mixing, toxicity, url_filter
+from vexel.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, licenses, lm_score, mixing, toxicity, url_filter
 from vexel.llm.common import table
 
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,6 +38,14 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.default_list(spark))
 
@@ -149,7 +157,7 @@ SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM g LEFT JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op5_url_filter, op6_license_scan, op7_embedding_dedup, op8_toxicity, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op4_lm_score, op5_url_filter, op6_license_scan, op7_embedding_dedup, op8_toxicity, op9_mixing, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
