@@ -51,7 +51,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     level = (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0))) / F.sum("w").over(rest)
     per = per.withColumn("total", F.sum("source_size").over(W.partitionBy()) * F.lit(float(share))).withColumn("level", level)
     fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    per = per.withColumn("final", F.min(fits).over(W.partitionBy()))
+    per = per.withColumn("final", F.max(fits).over(W.partitionBy()))
     return per.select("__src", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("final"), F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 

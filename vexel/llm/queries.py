@@ -90,7 +90,7 @@ per AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY src
 wt AS (SELECT *, CAST((row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS DOUBLE) AS w, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM per),
 lv AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                  / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
-fin AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS final FROM lv),
+fin AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS final FROM lv),
 tg AS (SELECT src, source_size, least(CAST(cap AS DOUBLE), coalesce(final, 'inf'::DOUBLE) * w) AS target FROM fin),
 o AS (SELECT s.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef FROM s)
 SELECT doc_id, size, source_size, target, CAST(
