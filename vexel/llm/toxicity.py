@@ -26,7 +26,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import bounded_sample, fold, with_fields, word_list
+from vexel.llm.common import bounded_sample, cut, fold, with_fields, word_list
 
 TOXIC, CLEAN = 4000, 8000
 PREFIXES = (3, 4, 5, 6)
@@ -163,7 +163,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits on a bounded sample of the labelled rows of docs; only feature numbers come to the driver."""
+    """Fits on a bounded sample of the labelled rows of docs; only the numbers of its useful features come to the driver."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "text").join(known.where(F.col("toxic").isin(0, 1)), "doc_id")
 
@@ -172,9 +172,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pd.DataFrame({"toxic": b["toxic"], "features": [text_features(t) for t in b["text"]]})
 
     sample = bounded_sample(rows.where("toxic = 1"), "toxic", TOXIC, "doc_id").unionByName(bounded_sample(rows.where("toxic = 0"), "toxic", CLEAN, "doc_id"))
-    got = sample.select("toxic", "text").mapInPandas(run, "toxic int, features array<int>").toPandas()
-    distinct = {(int(y), np.asarray(f, dtype=np.int32).tobytes()) for y, f in zip(got["toxic"], got["features"])}
-    ordered = sorted(distinct)
+    sample = cut(sample.select("toxic", "text").mapInPandas(run, "toxic int, features array<int>").distinct())
+    of = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    if len(of) < 2:
+        return None
+    counts = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("both")).where(F.col("both") >= LEAST_SUPPORT)
+    able = (F.col("pos") >= LEAST_SUPPORT) & (F.col("pos") >= LEAST_PRECISION * F.col("both")) & (F.col("both") - F.col("pos") <= 1 + STRAY * F.col("pos"))
+    gap = F.abs(F.col("pos") / of[1] - (F.col("both") - F.col("pos")) / of[0])
+    useful = counts.where(able).select("f").unionByName(counts.orderBy(gap.desc(), "f").limit(FEATURES).select("f")).distinct()
+    kept = docs.sparkSession.sparkContext.broadcast(np.sort(useful.toPandas()["f"].to_numpy(np.int32)))  # features of the sample only
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "features": [np.intersect1d(np.asarray(f, dtype=np.int32), kept.value) for f in b["features"]]})
+
+    got = sample.mapInPandas(narrow, "toxic int, features array<int>").toPandas()
+    ordered = sorted((int(y), np.asarray(f, dtype=np.int32).tobytes()) for y, f in zip(got["toxic"], got["features"]))
     return fit([np.frombuffer(f, dtype=np.int32) for _, f in ordered], np.array([y == 1 for y, _ in ordered], dtype=bool))
 
 
