@@ -164,15 +164,15 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Model | None:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on a bounded sample of the labelled rows of docs; only the numbers of its useful features come to the driver."""
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "text").join(known.where(F.col("toxic").isin(0, 1)), "doc_id")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = bounded_sample(known.where("toxic = 1"), "toxic", TOXIC, "doc_id").unionByName(bounded_sample(known.where("toxic = 0"), "toxic", CLEAN, "doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about TOXIC + CLEAN ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"toxic": b["toxic"], "features": [text_features(t) for t in b["text"]]})
 
-    sample = bounded_sample(rows.where("toxic = 1"), "toxic", TOXIC, "doc_id").unionByName(bounded_sample(rows.where("toxic = 0"), "toxic", CLEAN, "doc_id"))
-    sample = cut(sample.select("toxic", "text").mapInPandas(run, "toxic int, features array<int>").distinct())
+    sample = cut(rows.select("toxic", "text").mapInPandas(run, "toxic int, features array<int>").distinct())
     of = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(of) < 2:
         return None
