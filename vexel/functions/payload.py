@@ -15,12 +15,22 @@ NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL\(\d+,\d+\))$"
 
 class Payload:
     def __init__(self, column: str | Column = "payload"):
-        self.text = F.col(column) if isinstance(column, str) else column
-        self.json = F.try_parse_json(self.text)
+        self.column = column
+
+    @property
+    def text(self) -> Column:
+        return F.col(self.column) if isinstance(self.column, str) else self.column
+
+    @property
+    def json(self) -> Column:
+        return F.try_parse_json(self.text)
 
     def _value(self, field: str, literal) -> tuple[Column, Column]:
         """Whether the field is of the literal's kind, and its value."""
-        path = "$['" + field.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        quote = '"' if "'" in field else "'"
+        if quote in field:
+            raise ValueError(f"a field name can't hold both kinds of quotes: {field}")
+        path = f"$[{quote}{field}{quote}]"
         kind = F.schema_of_variant(F.try_variant_get(self.json, path, "variant"))
         if isinstance(literal, bool):
             return kind == "BOOLEAN", F.try_variant_get(self.json, path, "boolean")
