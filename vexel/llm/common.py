@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyspark.sql.functions as F
-import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Lower-cased words: ASCII letters and digits, and everything beyond ASCII.
@@ -64,12 +65,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
-    """The schema of df and more fields; that of df stays."""
-    out = T.StructType(list(df.schema.fields))
-    for name, kind in kinds.items():
-        out = out.add(name, kind)
-    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -77,3 +72,21 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def rows_where(df: DataFrame, column: str, test: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of df whose value in the column passes; other columns pass through untouched, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(column).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

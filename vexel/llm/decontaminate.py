@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import WORDS, lower_az, word_list
+from vexel.llm.common import WORDS, lower_az, rows_where, word_list
 
 N = 10
 #: Windows in one broadcast: about 100 bytes each.
@@ -95,7 +96,7 @@ def shards_of(benchmark: DataFrame, n: int, shard_windows: int) -> list:
     return [*out, sc.broadcast(part)] if part else out
 
 
-def scan(texts: pd.Series, shards: list, n: int) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
+def scan(texts, shards: list, n: int) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
     words = [word_list(t) for t in texts]
     hit, items = [np.zeros(len(w), dtype=bool) for w in words], [set() for _ in words]
     for b in shards:
@@ -149,13 +150,15 @@ def without_spans(text: str, hit: np.ndarray) -> str:
 def remove_hits(docs: DataFrame, benchmark: DataFrame, unit: str = "documents", n: int = N, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """docs without the contaminated rows (unit "documents"), or with the hit runs cut out of their texts ("spans")."""
     shards = shards_of(benchmark, n, shard_windows)
+    if unit == "documents":
+        return rows_where(docs, "text", lambda texts: [not x for x in scan(texts, shards, n)[2]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, hit, items = scan(b["text"], shards, n)
-            if unit == "documents":
-                yield b[[not x for x in items]]
-            else:
-                yield b.assign(text=[without_spans(t, h) if x else t for t, h, x in zip(b["text"], hit, items)])
+            texts = b.column("text").to_pylist()
+            _, hit, items = scan(texts, shards, n)
+            left = [without_spans(t, h) if x else t for t, h, x in zip(texts, hit, items)]
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, b.schema.field(at), pa.array(left, type=b.schema.field(at).type))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

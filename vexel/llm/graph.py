@@ -75,6 +75,8 @@ def links_within(members: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFra
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         a = pdf[pdf["own"] == lo].reset_index(drop=True)
         b = None if lo == hi else pdf[pdf["own"] == hi].reset_index(drop=True)
+        if b is not None and not (len(a) and len(b)):  # a block without rows; the rows of the other are in its own task too
+            return pd.DataFrame({"node": [], "n_links": [], "root": [], "multi": []})
         linked = compare(a, b)
         nodes = list(a["node"]) if b is None else [*a["node"], *b["node"]]
         rank = {n: k for k, n in enumerate(sorted(nodes))}

@@ -29,7 +29,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import cut, word_list
+from vexel.llm.common import cut, free_name, word_list
 from vexel.llm.graph import BLOCK, connected_components, gather, links_within
 
 SHINGLE = 5
@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is the smallest of their class, one for each id; rows without an id stay."""
-    kept = near_duplicates(docs, k, threshold, id_col=id_col).where("kept").select(F.col(id_col).alias("__kept")).where("__kept is not null").distinct()
+    name = free_name(docs, "kept")
+    kept = near_duplicates(docs, k, threshold, id_col=id_col).where("kept").select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
     named = docs.where(F.col(id_col).isNotNull())
-    one = named.join(cut(kept), named[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    one = named.join(cut(kept), F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(F.col(id_col).isNull()))

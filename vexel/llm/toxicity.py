@@ -26,7 +26,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import bounded_sample, cut, fold, with_fields, word_list
+from vexel.llm.common import bounded_sample, cut, fold, rows_where, word_list
 
 TOXIC, CLEAN = 4000, 8000
 PREFIXES = (3, 4, 5, 6)
@@ -191,22 +191,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([np.frombuffer(f, dtype=np.int32) for _, f in ordered], np.array([y == 1 for y, _ in ordered], dtype=bool))
 
 
-def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds __score to docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row, learnt from the labelled rows that aren't held out."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # FEATURES weights at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(__score=sent.value.scores(b["text"]) if sent.value else np.zeros(len(b)))
+            score = np.array(sent.value.scores(b["text"].tolist()) if sent.value else np.zeros(len(b)), dtype=float)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)})
 
-    return docs.mapInPandas(run, with_fields(docs, __score="double"))
+    rows = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row, learnt from the labelled rows that aren't held out."""
-    out = score_texts(docs.select("doc_id", "text"), train(docs, labels))
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
+    def clean(texts: list) -> list[bool]:
+        return [x < threshold for x in sent.value.scores(texts)] if sent.value else [True] * len(texts)
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return score_texts(docs, train(docs, labels)).where(F.col("__score") < threshold).drop("__score")
+    return rows_where(docs, "text", clean)
