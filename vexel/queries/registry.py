@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
@@ -547,7 +548,7 @@ def export_vectors(spark, sf):
 
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/vexel-{spark.sparkContext.applicationId}-{id(object())}"
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/vexel-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 @query()
