@@ -65,3 +65,15 @@ def test_chunks(spark):
     assert got == [(1, 0, "abcd"), (1, 1, "defg"), (1, 2, "ghij"), (1, 3, "j")]
     again = text.first_occurrences(spark.createDataFrame([(2, "x"), (1, "x"), (3, "y")], "id int, t string"), "t", ["id"])
     assert {(r.t, r.id) for r in again.collect()} == {("x", 1), ("y", 3)}
+
+
+def test_texts_of_several_encodings(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é 红楼梦".encode())
+    (tmp_path / "b.txt").write_bytes("红楼梦".encode("gbk"))
+    assert {r.path[-5:]: r.text for r in files.read_texts(spark, str(tmp_path / "*.txt")).collect()} == {"a.txt": "é 红楼梦", "b.txt": "红楼梦"}
+
+
+def test_hashed_embedding(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "THREE, two one!"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.id: r.embedding for r in text.hashed_embedding(docs).collect()}
+    assert got[1] == got[2] and sum(x * x for x in got[1]) == pytest.approx(1) and got[3] is None and got[4] is None

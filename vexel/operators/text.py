@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
+from vexel.operators.fulltext import terms_of
+
 
 def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, chunk): windows of `size` characters, `size - overlap` apart, trimmed, without empty ones."""
@@ -28,3 +34,22 @@ def lookup(results: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
 
 def running_sum(rows: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("running", F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def hashed_embedding(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, embedding): unit vectors of signed, hashed term counts; null for a text without terms. A stand-in where no
+    embedding model is at hand; any function of a text column fits in its place."""
+    terms = terms_of(F.col(text_col))
+    h = docs.select(F.col(id_col).alias("id"), F.transform(terms, lambda t: F.xxhash64(t)).alias("h"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x in b["h"]:
+                code = np.asarray(x if x is not None else [], dtype=np.int64).view(np.uint64)
+                v = np.bincount((code % np.uint64(dim)).astype(np.int64), weights=1.0 - 2.0 * (code >> np.uint64(63)), minlength=dim)
+                n = np.linalg.norm(v)
+                out.append((v / n).tolist() if n > 0 else None)
+            yield pd.DataFrame({"id": b["id"], "embedding": pd.Series(out, dtype=object)})
+
+    return h.mapInPandas(run, f"id {h.schema['id'].dataType.simpleString()}, embedding array<double>")

@@ -514,6 +514,21 @@ def chunk_dedupe(spark, sf):
     return text.first_occurrences(text.chunks(table(spark, sf, "documents")), "chunk", ["id", "pos"]).select(F.md5("chunk").alias("h"), "id", "pos")
 
 
+@query()
+def text_embedding_knn(spark, sf):
+    """Documents nearest to those with ids divisible by 20, by a hashed embedding of their texts."""
+    rows = text.hashed_embedding(table(spark, sf, "documents")).where("embedding is not null")
+    ask = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    return shown(knn.nearest(rows, ask, K, id_col="id"))
+
+
+@query("SELECT query_id, count(*) AS n, list(id ORDER BY rank)[1] AS first FROM (" + knn_sql(l2_sql("v", "q")) + ") GROUP BY query_id")
+def results_json(spark, sf):
+    packed = files.results_as_json(knn.nearest(emb(spark, sf), asked(spark, sf), K))
+    back = F.from_json("json", "results array<struct<id:bigint,distance:double>>")["results"]
+    return packed.select("query_id", F.size(back).cast("long").alias("n"), F.element_at(back, 1)["id"].alias("first"))
+
+
 @query("SELECT e.vec_id AS id, md5(translate(substr(text, 1, 120), chr(13) || chr(10), '  ')) AS h FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.label = 3")
 def result_text_lookup(spark, sf):
     found = emb(spark, sf).where("label = 3").select(F.col("vec_id").alias("id"))

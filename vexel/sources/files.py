@@ -63,3 +63,27 @@ def vectors_from_json_array(rows: DataFrame, column: str) -> DataFrame:
 def gaussian(spark: SparkSession, n: int, dim: int, seed: int = 1) -> DataFrame:
     """(vec_id, embedding): n seeded standard normal vectors."""
     return spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.randn(seed * 100_003 + i).cast("float") for i in range(dim)]).alias("embedding"))
+
+
+def read_texts(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "gbk", "gb18030")) -> DataFrame:
+    """(path, text): whole files, decoded by the first encoding that fits; a file that none fits is an error."""
+
+    def decoded(name: str, raw: bytes) -> str:
+        for e in encodings:
+            try:
+                return raw.decode(e)
+            except UnicodeDecodeError:
+                continue
+        raise ValueError(f"{name}: none of {encodings} fits")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "text": [decoded(n, bytes(c)) for n, c in zip(b["path"], b["content"])]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def results_as_json(results: DataFrame) -> DataFrame:
+    """(query_id, json): one {"results": [{"id", "distance"}]} for each query, in order of rank."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "distance"))), lambda r: F.struct(r["id"].alias("id"), r["distance"].alias("distance")))
+    return results.groupBy("query_id").agg(F.to_json(F.struct(ordered.alias("results"))).alias("json"))
