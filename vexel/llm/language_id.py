@@ -23,9 +23,9 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import bounded_sample, fold, with_fields
+from vexel.llm.common import bounded_sample, fold, rows_where
 
-LANDMARKS, TRAIN = 48, 600
+LANDMARKS, TRAIN = 48, 400
 RIDGE = 1e-3
 #: Steepness of the softmax that turns regression outputs (-1 to 1) into scores.
 STEEPNESS = 4.0
@@ -90,10 +90,10 @@ class Model:
         return [self.languages[i] for i in best], odds[np.arange(len(best)), best]
 
 
-def kernel(a: list[np.ndarray], rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Kernel of n-gram lists with the landmarks: rows (WIDTH, landmarks)."""
-    out = np.array([rows[x].sum(axis=0, dtype=np.float64) for x in a]).reshape(len(a), rows.shape[1])
-    return out / np.sqrt(np.array([max(1, len(x)) for x in a])[:, None] * sizes[None, :])
+def kernel(grams: list[np.ndarray], place: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Kernel of n-gram lists with the landmarks: rows (columns, landmarks), place: the column of an n-gram, or the last, empty one."""
+    out = np.array([rows[place[x]].sum(axis=0, dtype=np.float64) for x in grams]).reshape(len(grams), rows.shape[1])
+    return out / np.sqrt(np.array([max(1, len(x)) for x in grams])[:, None] * sizes[None, :])
 
 
 def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -102,21 +102,25 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
         seen[k] = seen.get(k, 0) + 1
         if seen[k] <= landmarks:
             chosen.append(i)
-    rows = np.zeros((WIDTH, len(chosen)), dtype=np.float32)
+    columns = np.unique(np.concatenate([grams[i] for i in chosen]))
+    place = np.full(WIDTH, len(columns), dtype=np.int32)
+    place[columns] = np.arange(len(columns))
+    rows = np.zeros((len(columns) + 1, len(chosen)), dtype=np.uint8)
     for j, i in enumerate(chosen):
-        rows[grams[i], j] = 1
+        rows[place[grams[i]], j] = 1
     sizes = np.array([max(1, len(grams[i])) for i in chosen], dtype=np.float64)
-    values, vectors = np.linalg.eigh(kernel([grams[i] for i in chosen], rows, sizes))
+    values, vectors = np.linalg.eigh(kernel([grams[i] for i in chosen], place, rows, sizes))
     good = values > 1e-8 * values.max()
     half = vectors[:, good] / np.sqrt(values[good])  # Nystroem map: kernel row times half
-    phi = kernel(grams, rows, sizes) @ half
+    phi = kernel(grams, place, rows, sizes) @ half
     goal = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     share = np.array([1.0 / labels.count(k) for k in labels])[:, None]  # each language weighs the same
     share /= share.sum()
     phi1 = np.hstack([phi, np.ones((len(phi), 1))])
     solved = np.linalg.solve(phi1.T @ (phi1 * share) + ridge * np.diag([1.0] * phi.shape[1] + [0.0]) / len(languages), phi1.T @ (goal * share))
-    columns = np.flatnonzero(rows.any(axis=1))
-    return Model(languages, columns, ((rows[columns] / np.sqrt(sizes)) @ (half @ solved[:-1])).astype(np.float32))
+    part = (half @ solved[:-1]) / np.sqrt(sizes)[:, None]
+    weights = np.concatenate([rows[at : at + 4096].astype(np.float64) @ part for at in range(0, len(columns), 4096)])[: len(columns)]
+    return Model(languages, columns, weights.astype(np.float32))
 
 
 def train(docs: DataFrame, per_label: int = TRAIN, landmarks: int = LANDMARKS) -> Model | None:
@@ -133,20 +137,14 @@ def train(docs: DataFrame, per_label: int = TRAIN, landmarks: int = LANDMARKS) -
     return fit([np.asarray(g) for g in got["grams"]], got["lang"].tolist(), landmarks) if len(got) else None
 
 
-def classify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds __lang and __score to docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most WIDTH rows of one weight for each language
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            m, lang, score = sent.value, np.full(len(b), "und", dtype=object), np.zeros(len(b))
-            able = np.flatnonzero([has_letter(t) for t in b["text"]]) if m else np.array([], dtype=int)
-            for at in range(0, len(able), BATCH):
-                i = able[at : at + BATCH]
-                lang[i], score[i] = m.predict(b["text"].iloc[i].tolist())
-            yield b.assign(__lang=lang, __score=score)
-
-    return docs.mapInPandas(run, with_fields(docs, __lang="string", __score="double"))
+def judge(texts: list[str | None], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+    able = np.flatnonzero([has_letter(t) for t in texts]) if model else np.array([], dtype=int)
+    for at in range(0, len(able), BATCH):
+        i = able[at : at + BATCH]
+        lang[i], score[i] = model.predict([texts[j] for j in i])
+    return lang, score
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -155,10 +153,23 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row, learnt from the rows that aren't held out."""
-    out = classify(docs.select("doc_id", "text"), train(training_rows(docs)))
-    return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    sent = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs)))  # at most WIDTH rows of one weight for each language
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lang, score = judge(b["text"].tolist(), sent.value)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": score})
+
+    rows = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of docs that have a language: not `und`, and with a score of at least `least`."""
-    return classify(docs, train(training_rows(docs))).where((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+    sent = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs)))
+
+    def known(texts: list) -> list[bool]:
+        lang, score = judge(texts, sent.value)
+        return [x != "und" and y >= least for x, y in zip(lang, score)]
+
+    return rows_where(docs, "text", known)
