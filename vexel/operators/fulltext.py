@@ -24,7 +24,8 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, id
     the corpus statistics are one row.
     """
     words = terms_of(F.col(text_col))
-    df = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("w"))
+    # explode of one array keeps the words a column of their own, so that they aren't extracted again for each term
+    df = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(words)).alias("w"))
 
     def count_of(term: str):
         return F.size(F.filter("w", lambda x: x == term)).cast("double")
