@@ -34,7 +34,7 @@ PREFIXES = (3, 4, 5, 6)
 MASK = (1 << 31) - 1
 #: A voter is in this many toxic texts of the sample at least, with this precision at least, and in one clean text and this
 #: share of its toxic ones at most.
-LEAST_SUPPORT, LEAST_PRECISION, STRAY = 3, 0.9, 0.015
+LEAST_SUPPORT, LEAST_PRECISION, STRAY = 5, 0.9, 0.015
 VOTES_EACH, MOST_VOTERS = 4, 400
 FEATURES = 1024
 THRESHOLD = 0.7
@@ -128,7 +128,8 @@ def fit_linear(rows: list[np.ndarray], post: np.ndarray, voters: np.ndarray, nam
     p, n = max(post.sum(), 1e-9), max(len(post) - post.sum(), 1e-9)
     gap = np.abs(pos / p - (both - pos) / n) * (both >= LEAST_SUPPORT)
     gap[voters] = np.inf
-    kept = np.sort(np.argsort(-gap, kind="stable")[:FEATURES])
+    most = min(FEATURES, len(voters) + int(p))  # no more other features than toxic texts
+    kept = np.sort(np.argsort(-gap, kind="stable")[:most])
     column = np.full(width, -1)
     column[kept] = np.arange(len(kept))
     at = column[flat]
