@@ -81,6 +81,17 @@ def test_edge_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 6, 7, 9, None, None]))
 
 
+def test_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, c), (5, a + " z"), (6, b + " z"), (1, a + " y"), (1, b + " y"), (1, c + " y"), (1, c + " y")]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.class_id, r.n_links) for r in jj.near_duplicates(docs(spark, rows)).collect()))
+    assert got == [(False, 1, 1, 2), (False, 1, 1, 2), (False, 1, 1, 2), (False, 1, 1, 2), (False, 5, 1, 2), (False, 6, 1, 2), (True, 0, 1, 2), (True, 0, 1, 2), (True, 0, 1, 2)]
+    only = sorted((r.n_links, str(r.class_id)) for r in jj.near_duplicates(docs(spark, [(None, a), (None, b), (None, a + " z"), (None, c)])).collect())
+    assert only == [(0, "None"), (0, "None"), (1, "None"), (1, "None")]
+    kept = sorted(r.text for r in jj.keep_one(docs(spark, rows)).collect() if r.doc_id is not None)
+    assert kept == [a + " y", b + " y", c + " y"]
+
+
 def test_no_rows(spark):
     assert jj.near_duplicates(docs(spark, [])).collect() == []
     assert jj.keep_one(docs(spark, [])).collect() == []

@@ -11,9 +11,9 @@ Within a group every pair of nodes is verified on the full sets, in blocks of bo
 written out.
 
 Defined results: a text that is null or has no words links with nothing and is its own class; rows with equal ids and
-texts count as copies; equal word sequences are always linked; null ids are allowed (a class of such rows only has a
-null id); an empty table gives an empty result; other columns are ignored by `near_duplicates` and kept by
-`keep_one`.
+texts count as copies; an id may stand for several texts, which are told apart; equal word sequences are always
+linked; null ids are allowed (a class of such rows only has a null id); an empty table gives an empty result; other
+columns are ignored by `near_duplicates` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def node_of(words: list[str]) -> bytes | None:
 
 
 def signatures(docs: DataFrame, id_col: str, k: int, rows: int, bands: int) -> DataFrame:
-    """(id, node, bands) for each row."""
+    """(id, digest, node, bands) for each row; digest: of the text as it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -108,10 +108,10 @@ def signatures(docs: DataFrame, id_col: str, k: int, rows: int, bands: int) -> D
                 nodes.append(node_of(words))
                 sigs.append(signature(shingler(words), rows * bands) if words else np.zeros(rows * bands, dtype=np.uint32))
             hashes = band_hashes(np.array(sigs, dtype=np.uint32).reshape(len(b), rows * bands), rows, bands)
-            yield pd.DataFrame({"id": b[id_col], "node": nodes, "bands": list(hashes)})
+            yield pd.DataFrame({"id": b[id_col], "digest": b["digest"], "node": nodes, "bands": list(hashes)})
 
-    narrow = docs.select(id_col, "text")
-    return narrow.mapInPandas(run, f"id {narrow.schema[id_col].dataType.simpleString()}, node binary, bands array<bigint>")
+    narrow = docs.select(id_col, "text", F.xxhash64("text").alias("digest"))
+    return narrow.mapInPandas(run, f"id {narrow.schema[id_col].dataType.simpleString()}, digest long, node binary, bands array<bigint>")
 
 
 def similar(k: int, threshold: float):
@@ -144,30 +144,39 @@ def similar(k: int, threshold: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS, id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links, kept) for each row: class_id is the smallest id in the text's component of links, n_links
-    the number of other rows whose texts are similar, kept whether the row's id is class_id."""
+def classes(docs: DataFrame, k: int, threshold: float, miss: float, id_col: str, block: int) -> DataFrame:
+    """(id, digest, class_id, n_links) for each row."""
     rows, bands = bands_for(threshold, miss)
     signed = cut(signatures(docs, id_col, k, rows, bands))
-    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    nodes = cut(signed.where("node is not null").groupBy("node").agg(
+        F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
     groups = connected_components(keyed.join(cut(shared), "key").select(F.col("node").alias("u"), F.col("first").alias("v")))
     members = groups.join(nodes.drop("bands"), "node")
-    texts = docs.select(F.col(id_col).alias("first_id"), "text")
-    texts = members.join(texts, members["first_id"].eqNullSafe(texts["first_id"])).select(members["node"], "component", "copies", "text")
+    texts = docs.select(F.col(id_col).alias("first_id"), "text", F.xxhash64("text").alias("digest"))
+    same = members["first_id"].eqNullSafe(texts["first_id"]) & (members["digest"] == texts["digest"])  # an id may stand for several texts
+    texts = members.join(texts, same).select(members["node"], "component", "copies", "text")
     found = gather(links_within(texts, similar(k, threshold), block), nodes)
     all_nodes = cut(nodes.drop("bands").join(found, "node", "left").select(
         "node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = signed.drop("bands").join(all_nodes, "node", "left")
-    class_id = F.coalesce("class_id", "id")
-    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"))
+    return out.select("id", "digest", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS, id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """(id, class_id, n_links, kept) for each row: class_id is the smallest id in the text's component of links, n_links
+    the number of other rows whose texts are similar, kept whether the row's id is class_id."""
+    out = classes(docs, k, threshold, miss, id_col, block)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is the smallest of their class, one for each id; rows without an id stay."""
-    name = free_name(docs, "kept")
-    kept = near_duplicates(docs, k, threshold, id_col=id_col).where("kept").select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    one = named.join(cut(kept), F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
+    """The rows of docs whose id is the smallest of their class, one for each id and text; rows without an id stay."""
+    name, digest = free_name(docs, "kept"), free_name(docs, "digest")
+    found = classes(docs, k, threshold, MISS, id_col, BLOCK).where("id = class_id").select(F.col("id").alias(name), F.col("digest").alias(digest)).distinct()
+    kept = cut(found)
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(digest, F.xxhash64("text"))
+    one = named.join(kept, (named[id_col] == kept[name]) & (named[digest] == kept[digest]), "left_semi").dropDuplicates([id_col, digest]).drop(digest)
     return one.unionByName(docs.where(F.col(id_col).isNull()))
