@@ -124,6 +124,9 @@ def test_contaminated_rows_and_spans_go(spark):
     assert {r.doc_id: r.text for r in dc.remove_hits(docs(spark, rows), bench, "spans").collect()} == {1: "before  after", 2: "clean text", 3: None}
     assert dc.remove_hits(docs(spark, rows), bench.limit(0)).count() == 3
     assert dc.find_hits(docs(spark, []), bench).count() == 0
+    named = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (None, "x y"), (8, None)], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in dc.find_hits(docs(spark, [(1, "a b c d", "en", "s"), (2, "x y", "en", "s")]), named).collect()}
+    assert got == {1: (4, 3, 2, hashlib.sha256(b"7").hexdigest(), True), 2: (2, 2, 1, hashlib.sha256(b"").hexdigest(), True)}
 
 
 # --- LM scoring ---

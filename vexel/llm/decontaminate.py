@@ -9,7 +9,7 @@ The items are dealt into shards of at most `shard_windows` windows; each shard i
 task one after another, so what a task holds doesn't grow with the benchmark.
 
 Defined results: a null text or one without words has no hits; null items and repeated items are allowed, equal
-item_ids count once; an empty benchmark leaves all clean; each row of docs gives one row, repeated ids included;
+item_ids count once; items without an id hit like others, count as one item and have no name in the digest; an empty benchmark leaves all clean; each row of docs gives one row, repeated ids included;
 other columns of docs are kept by `remove_hits` and ignored by `find_hits`.
 """
 
@@ -58,7 +58,7 @@ class Shard:
             rows = np.array(list(windows), dtype=np.uint64).reshape(-1, size)
             hashes = np.array([window_hashes(r, size)[0] for r in rows], dtype=np.uint64)
             order = np.argsort(hashes, kind="stable")
-            self.tables[size] = (hashes[order], rows[order], [sorted(x) for x in np.array([*windows.values(), None], dtype=object)[:-1][order]])
+            self.tables[size] = (hashes[order], rows[order], [list(x) for x in np.array([*windows.values(), None], dtype=object)[:-1][order]])
 
     def hits(self, words: list[str], hit: np.ndarray) -> set[str]:
         """Marks the hit words; the items with windows in the text."""
@@ -129,7 +129,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, shard_windows:
             count, hit, items = scan(b["text"], shards, n)
             yield pd.DataFrame({
                 id_col: b[id_col], "n_words": count, "n_hit": [int(h.sum()) for h in hit], "n_items": [len(x) for x in items],
-                "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items],
+                "items_sha256": [hashlib.sha256(",".join(sorted(x - {None})).encode()).hexdigest() for x in items],
                 "contaminated": [bool(x) for x in items],
             })
 
