@@ -24,9 +24,9 @@ def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) blocks of the queries (query_id, q), read through an iterator."""
+    """(ids, matrix) blocks of the queries (query_id, q), read through an iterator; their order doesn't matter."""
     ids, rows = [], []
-    for r in queries.select("query_id", F.col("q").cast("array<double>")).orderBy("query_id").toLocalIterator():
+    for r in queries.select("query_id", F.col("q").cast("array<double>")).toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
         if len(ids) == size:
@@ -38,15 +38,17 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[
 
 def best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
     """The k smallest scores of each query, ties by id; rows where the score is NaN don't count."""
-    parts = []
-    for i, s in enumerate(scores):
+    found = []
+    for s in scores:
         ok = np.flatnonzero(~np.isnan(s))
         if len(ok) > k:
             cut = np.partition(s[ok], k - 1)[k - 1]
             ok = ok[s[ok] <= cut]
-        order = ok[np.lexsort((rows[ok], s[ok]))][:k]
-        parts.append(pd.DataFrame({"query_id": ids[i], "id": rows[order], "distance": s[order]}))
-    return pd.concat(parts, ignore_index=True)
+        found.append(ok[np.lexsort((rows[ok], s[ok]))][:k])
+    sizes = [len(x) for x in found]
+    at = np.concatenate(found) if found else np.zeros(0, dtype=int)
+    query = np.repeat(np.arange(len(found)), sizes)
+    return pd.DataFrame({"query_id": np.asarray(ids)[query], "id": rows[at], "distance": scores[query, at]})
 
 
 def ranked(candidates: DataFrame, k: int, descending: bool = False) -> DataFrame:
