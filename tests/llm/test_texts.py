@@ -214,6 +214,28 @@ def test_few_contexts_still_score(spark):
     assert sum(few.values()) < sum(all_.values()) < 0
 
 
+def test_every_context_of_the_corpus_counts(spark):
+    r = random.Random(3)
+    v = ["".join(r.choices("abcdefghij", k=r.randint(4, 11))) for _ in range(900)] + ["nul\0nul", "Übungen"]
+    rows = [(i, " ".join(r.choices(v, k=9)), "en", "s") for i in range(400)]
+    whole = {x.doc_id: x.score for x in lm.score_texts(docs(spark, rows)).collect()}
+    joined = {x.doc_id: x.score for x in lm.score_texts(docs(spark, rows), sent_windows=50).collect()}
+    assert joined == pytest.approx(whole, rel=1e-6)
+    training = [t for i, t, *_ in rows if held(i, 10)]
+    for i, t, *_ in [x for x in rows if not held(x[0], 10)][:3] + rows[:3]:
+        assert whole[i] == pytest.approx(brute_ppm(training, t), abs=2e-3, rel=1e-4)
+
+
+def test_far_repeats_in_a_long_text_count(monkeypatch):
+    raw = [lm.coded(lm.tokens_of(t)) for _, t, *_ in told()]
+    known = lm.Known(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+    keys = np.unique(np.concatenate([k for k in lm.whole_scores(raw, known)[1]]).view(np.uint64))
+    more = (keys, np.full(len(keys), -1.0))
+    one = lm.whole_scores(raw, known, more)[0]
+    monkeypatch.setattr(lm, "PIECE", 40)
+    assert lm.whole_scores(raw, known, more)[0] == pytest.approx(one)
+
+
 def test_odd_texts_are_scored(spark):
     rows = told(12) + [(1000 + i, t, None, None) for i, t in enumerate(ODD)] + [(3, "again", None, None), (None, "no id", None, None)]
     got = lm.score_texts(docs(spark, rows)).collect()

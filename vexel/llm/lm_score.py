@@ -7,11 +7,13 @@ the space before it; their counts come from the counts of all words. Escapes are
 n symbols seen: escape d/2n, half a count from each of the d), and symbols seen in a longer context are excluded from the shorter ones, so each
 context holds a proper distribution; the code length of a text is the sum of -log10 of its bytes' probabilities. The
 blended distributions are computed once, before scoring (the pretrained part). Above them stands one adaptive order: the
-twelve bytes before, if they stood earlier in the text (in the same piece of half a MB), predict what followed them there.
+twelve bytes before, if they stood earlier in the text, predict what followed them there.
 
-Size: orders 0 to 2 have at most 65,793 contexts; of each higher order the most frequent ones are kept as nodes of the
-trie, as many as MODEL_BYTES holds; the others escape to the next shorter context. So a task's model is bounded,
-however large the corpus.
+Size: every context that the corpus holds counts. A byte's probability depends on its window only: five bytes, or six to
+eight within a word. Each distinct window of the corpus is given its probability once, in shards by the last three bytes
+of its context, which hold all that the longer contexts need. The SENT most frequent windows are sent to the tasks, and
+the others that a text has are joined to it by key. (`most` bounds the contexts of each order from 3 on instead, to those of a
+trie on the driver.)
 
 The base is a unigram model of tokens. Its counts cover all training texts; the FREQUENT most frequent words are sent
 to the tasks, and all others are joined by word.
@@ -39,6 +41,8 @@ END = 0xFF  # not a byte of UTF-8
 SYMBOLS = 257
 MAX_CONTEXTS, MODEL_BYTES = 1 << 16, 40_000_000
 FREQUENT = 60_000
+#: Windows sent to the tasks, and windows of a shard.
+SENT, SHARD = 3_000_000, 200_000
 #: Distinct words, and bytes of windows, that a task gathers before it hands counts on.
 FLUSH_WORDS, FLUSH_BYTES = 400_000, 8_000_000
 #: Texts whose tokens a task holds at a time.
@@ -56,7 +60,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def coded(tokens: list[bytes]) -> bytes:
-    return b" ".join(tokens) + bytes([END])
+    return b" ".join(tokens).replace(b"\0", b"\xC0") + bytes([END])  # 0xC0 is no byte of UTF-8; so no window starts with a zero
 
 
 def word_of(token: bytes) -> str:
@@ -318,10 +322,177 @@ def build_trie(grams: DataFrame, words: DataFrame, most: int = MAX_CONTEXTS) ->
     return Trie(symbol, near, longer, np.log10(table, out=table))
 
 
-def scored(b: pd.DataFrame, trie: Trie, logs: dict[bytes, float]) -> pd.DataFrame:
+@dataclass
+class Level:
+    """Contexts of one order: the probabilities of the symbols seen in each, and what an escape to the next shorter context costs."""
+
+    grams: np.ndarray  # context and symbol, sorted
+    p: np.ndarray
+    contexts: np.ndarray  # sorted
+    escape: np.ndarray
+
+
+def lookup(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, found) of x among sorted names."""
+    if not len(names):
+        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return at, names[at] == x
+
+
+def probability(levels: list[Level], g: np.ndarray) -> np.ndarray:
+    """Probabilities of windows (uint64) by contexts of up to len(levels) - 1 bytes."""
+    if not levels:
+        return np.full(len(g), 1 / SYMBOLS)
+    p = probability(levels[:-1], g & np.uint64((1 << (8 * (len(levels) - 1))) - 1))
+    at, there = lookup(levels[-1].contexts, g >> np.uint64(8))
+    p[there] *= levels[-1].escape[at[there]]
+    at, seen = lookup(levels[-1].grams, g)
+    p[seen] = levels[-1].p[at[seen]]
+    return p
+
+
+def level(lower: list[Level], g: np.ndarray, n: np.ndarray) -> Level:
+    """The next level above `lower`, from its windows and their counts."""
+    g, at = np.unique(g, return_inverse=True)
+    n = np.bincount(at, weights=n, minlength=len(g))
+    contexts, at = np.unique(g >> np.uint64(8), return_inverse=True)
+    total, d = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+    left = 1 - np.bincount(at, weights=probability(lower, g & np.uint64((1 << (8 * len(lower))) - 1)), minlength=len(contexts))
+    full = left <= 1e-12
+    return Level(g, np.where(full[at], n, n - 0.5) / total[at], contexts, np.where(full, 0, 0.5 * d / total / np.where(full, 1, left)))
+
+
+def word_grams(words: DataFrame) -> DataFrame:
+    """(o, g, n): the windows of o + 1 bytes inside of " word ", o from 5 to 7, and those of " word" and the end, which count 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for end in (b" ", bytes([END])):
+                raw = [b" " + w.encode("utf-8", "surrogatepass").replace(b"\0", b"\xC0") + end for w in b["word"]]
+                x, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64), np.array([len(r) for r in raw])
+                left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(x))  # bytes of the word from here on
+                n = np.repeat(b["n"].to_numpy(np.int64) if end == b" " else np.zeros(len(b), dtype=np.int64), sizes)
+                for o in range(ORDER + 1, LONGEST + 1):
+                    at = np.flatnonzero(left > o if end == b" " else left == o + 1)
+                    code = np.zeros(len(at), dtype=np.uint64)
+                    for i in range(o + 1):
+                        code = (code << np.uint64(8)) | x[at + i]
+                    g, inverse = np.unique(code, return_inverse=True)
+                    yield pd.DataFrame({"o": o, "g": g.view(np.int64), "n": np.bincount(inverse, weights=n[at], minlength=len(g)).astype(np.int64)})
+
+    return words.where("word <> ''").mapInPandas(run, "o int, g long, n long").groupBy("o", "g").agg(F.sum("n").alias("n"))
+
+
+def window_scores(grams: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, n, p): log10 probability of every window of five bytes (window, n), and of those within words (word, n) of six to eight; n may be 0."""
+    lower: list[Level] = []
+    few = grams.where("n > 0").groupBy(F.col("window").bitwiseAND((1 << 24) - 1).alias("g")).agg(F.sum("n").alias("n")).toPandas()  # at most 2^24
+    g, n = few["g"].to_numpy(np.int64).astype(np.uint64), few["n"].to_numpy(np.float64)
+    for o in range(3):
+        lower.append(level(lower, g & np.uint64((1 << (8 * (o + 1))) - 1), n))
+    sent = grams.sparkSession.sparkContext.broadcast(lower)
+    rows = stored(grams.select(F.lit(ORDER).alias("o"), F.col("window").alias("g"), "n").unionByName(word_grams(words)))
+    shards = max(8, rows.count() // SHARD)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, out = list(sent.value), []
+        parts = {o: (x["g"].to_numpy(np.int64).view(np.uint64), x["n"].to_numpy(np.int64)) for o, x in pdf.groupby("o")}
+        for o in range(3, LONGEST + 1):
+            g, n = parts.get(max(o, ORDER), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+            short, seen = g & np.uint64((1 << (8 * (o + 1))) - 1), n > 0
+            levels.append(level(levels, short[seen], n[seen]))
+            if o >= ORDER:
+                p = np.log10(np.maximum(probability(levels, g), 1e-30))
+                out.append(pd.DataFrame({"key": g.view(np.int64), "n": n, "p": p.astype(np.float32)}))
+        return pd.concat(out)
+
+    shard = F.pmod(F.xxhash64(F.shiftrightunsigned("g", 8).bitwiseAND((1 << 24) - 1)), F.lit(shards))
+    return stored(rows.groupBy(shard.alias("shard")).applyInPandas(run, "key long, n long, p float"))
+
+
+class Known:
+    """Probabilities of the windows sent to the tasks, found by the hashes of their keys."""
+
+    def __init__(self, key: np.ndarray, p: np.ndarray):
+        h = key.view(np.uint64) * MULTIPLIER
+        order = np.argsort(h)
+        self.h, self.p = np.append(h[order], np.uint64(0)), np.append(p[order], np.float32(0))
+        self.start = np.searchsorted(self.h[:-1] >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of each key, NaN where it isn't known."""
+        h = key * MULTIPLIER
+        bucket = (h >> np.uint64(44)).astype(np.int64)
+        at, end, out = self.start[bucket], self.start[bucket + 1], np.full(len(key), np.nan, dtype=np.float32)
+        todo = np.arange(len(key))
+        while len(todo):
+            hit = (self.h[at] == h) & (at < end)
+            out[todo[hit]] = self.p[at[hit]]
+            on = ~hit & (at + 1 < end)
+            todo, at, end, h = todo[on], at[on] + 1, end[on], h[on]
+        return out
+
+
+def window_keys(b: np.ndarray) -> np.ndarray:
+    """The window of each byte from the eighth on; texts stand behind LONGEST ends."""
+    here = np.arange(len(b))
+    word = np.maximum.accumulate(np.where(b == 0x20, here, np.where(b == END, here + 1, 0)))
+    inside = here[LONGEST:] - word[LONGEST - 1 : -1]  # bytes before this one in its word, with the space before it
+    order = np.where(inside > ORDER, np.minimum(inside, LONGEST), ORDER)
+    code = np.zeros(len(b) - LONGEST, dtype=np.uint64)
+    for i in range(LONGEST + 1):
+        code = (code << np.uint64(8)) | b[i : len(b) - LONGEST + i]
+    return code & np.array([(1 << (8 * (o + 1))) - 1 for o in range(LONGEST + 1)], dtype=np.uint64)[order]
+
+
+def whole_scores(raw: list[bytes], known: Known, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(scores, far) of coded texts: log10 probability, NaN where the text has windows that neither `known` nor `more` (sorted keys, p) hold; and those."""
+    out, far, part, owner, held = np.zeros(len(raw)), [np.zeros(0, dtype=np.int64)] * len(raw), [], [], 0
+
+    def flush() -> None:
+        b, sizes = np.frombuffer(b"".join(part), dtype=np.uint8), np.array([len(x) for x in part])
+        text = np.repeat(np.arange(len(part)), sizes)
+        place = np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(place >= LONGEST)
+        key, p = window_keys(b)[at - LONGEST], np.zeros(len(b))
+        p[at] = known.find(key)
+        lost = np.flatnonzero(np.isnan(p[at]))
+        if more is not None and len(lost):
+            k, there = lookup(more[0], key[lost])
+            p[at[lost[there]]] = more[1][k[there]]
+            lost = lost[~there]
+        for i in np.unique(text[at[lost]]):
+            far[owner[i]] = np.unique(key[lost[text[at[lost]] == i]]).view(np.int64)
+            out[owner[i]] = np.nan
+        bad = np.zeros(len(part), dtype=bool)
+        bad[text[at[lost]]] = True
+        ok = ~bad[text]
+        if ok.any():
+            b, text, place, p = b[ok], text[ok], place[ok], p[ok]
+            q = adapt(b, text, place[LONGEST:], p[LONGEST:])
+            inside = place[LONGEST:] >= LONGEST
+            sums = np.bincount(text[LONGEST:][inside], weights=q[inside], minlength=len(part))
+            out[np.array(owner)[~bad]] = sums[~bad]
+
+    for i, r in enumerate(raw):
+        part.append(bytes([END]) * LONGEST + r)
+        owner.append(i)
+        held += len(part[-1])
+        if held >= PIECE:
+            flush()
+            part, owner, held = [], [], 0
+    if part:
+        flush()
+    return out, far
+
+
+def scored(b: pd.DataFrame, model: Trie | Known, logs: dict[bytes, float]) -> pd.DataFrame:
     """The rows of b with their scores, the base over the words in logs, and the other words with their counts."""
     found = [tokens_of(t) for t in b["text"]]
-    out = {"id": b["id"].tolist(), "held_out": b["held_out"].tolist(), "n_tokens": [len(x) + 1 for x in found], "n_known": [], "base": [], "score": trie.scores([coded(x) for x in found]), "rare": [], "times": []}
+    raw = [coded(x) for x in found]
+    score, far = whole_scores(raw, model) if isinstance(model, Known) else (model.scores(raw), [[]] * len(raw))
+    out = {"id": b["id"].tolist(), "held_out": b["held_out"].tolist(), "n_tokens": [len(x) + 1 for x in found], "n_known": [], "base": [], "score": score, "rare": [], "times": [], "far": far, "text": [t if len(k) else None for t, k in zip(b["text"], far)]}
     for x in found:
         each = Counter(x)
         each[b""] = 1
@@ -333,26 +504,69 @@ def scored(b: pd.DataFrame, trie: Trie, logs: dict[bytes, float]) -> pd.DataFram
     return pd.DataFrame(out)
 
 
-def score_texts(docs: DataFrame, most: int = MAX_CONTEXTS, frequent: int = FREQUENT, id_col: str = "doc_id") -> DataFrame:
+def frequent_windows(probs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, p) of the most frequent windows, `most` at most, packed in the tasks."""
+    step = F.when(F.col("n") > 0, F.floor(F.log2("n") * 8)).otherwise(-1)
+    sizes = sorted(probs.groupBy(step.alias("s")).count().collect(), reverse=True)
+    least = [r["s"] for r, total in zip(sizes, np.cumsum([r["count"] for r in sizes])) if total <= most]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"keys": [b["key"].to_numpy(np.int64).tobytes()], "ps": [b["p"].to_numpy(np.float32).tobytes()]})
+
+    near = probs.where(step >= least[-1]).select("key", "p").mapInPandas(pack, "keys binary, ps binary").collect() if least else []
+    return np.frombuffer(b"".join(r["keys"] for r in near), dtype=np.int64), np.frombuffer(b"".join(r["ps"] for r in near), dtype=np.float32)
+
+
+def far_scores(texts: DataFrame, probs: DataFrame, sent) -> DataFrame:
+    """(row, score) of texts (row, text, far) that have windows beyond those sent, which are joined to them by key."""
+    pairs = texts.select("row", F.explode("far").alias("key")).join(probs.select("key", "p"), "key")
+    found = pairs.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list("p").alias("ps"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value[0]
+        for whole in batches:
+            for at in range(0, len(whole), STEP):
+                b = whole.iloc[at : at + STEP]
+                key, first = np.unique(np.concatenate(b["keys"].tolist()).astype(np.int64).view(np.uint64), return_index=True)
+                p = np.concatenate(b["ps"].tolist())[first]
+                score, far = whole_scores([coded(tokens_of(t)) for t in b["text"]], model, (key, p))
+                if any(len(k) for k in far):
+                    raise ValueError("a window without a probability")
+                yield pd.DataFrame({"row": b["row"], "score": score})
+
+    return texts.select("row", "text").join(found, "row").mapInPandas(run, "row long, score double")
+
+
+def score_texts(docs: DataFrame, most: int | None = None, frequent: int = FREQUENT, id_col: str = "doc_id", sent_windows: int = SENT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, learnt from the rows that aren't held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), "text", (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"))
-    counts = stored(gather_counts(rows.where("not held_out")))
-    words, grams = counts.where("word is not null").select("word", "n"), counts.where("window is not null").select("window", "n")
+    counts = gather_counts(rows.where("not held_out"))
+    if most is None:  # windows of held-out texts need probabilities, too
+        counts = counts.unionByName(gather_counts(rows.where("held_out")).withColumn("n", F.lit(0).cast("long"))).groupBy("word", "window").agg(F.sum("n").alias("n"))
+    counts = stored(counts)
+    every, grams = counts.where("word is not null").select("word", "n"), counts.where("window is not null").select("window", "n")
+    words = every.where("n > 0")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     below = np.log10(total["n"] + ADD * (total["v"] + 1))
     top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    sent = spark.sparkContext.broadcast((build_trie(grams, words, most), dict(zip(top["word"], top["n"]))))
+    if most is None:
+        probs = window_scores(grams, every)
+        model = Known(*frequent_windows(probs, sent_windows))
+    else:
+        model = build_trie(grams, words, most)
+    sent = spark.sparkContext.broadcast((model, dict(zip(top["word"], top["n"]))))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, known = sent.value
+        model, known = sent.value
         logs = {w.encode(): float(np.log10(n + ADD) - below) for w, n in known.items()}
         for whole in batches:
             for at in range(0, len(whole), STEP):  # the tokens of few texts at a time
-                yield scored(whole.iloc[at : at + STEP], trie, logs)
+                yield scored(whole.iloc[at : at + STEP], model, logs)
 
-    first = rows.mapInPandas(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>")
+    first = rows.mapInPandas(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>, far array<long>, text string")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()))
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
@@ -361,7 +575,9 @@ def score_texts(docs: DataFrame, most: int = MAX_CONTEXTS, frequent: int = FREQU
         .groupBy("row")
         .agg(F.sum(F.col("times") * (F.log10(n + ADD) - F.lit(float(below)))).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("found"))
     )
-    out = first.drop("rare", "times").join(more, "row", "left")
+    out = first.drop("rare", "times", "far", "text").join(more, "row", "left")
+    if most is None:
+        out = out.join(far_scores(first.where("size(far) > 0"), probs, sent).withColumnRenamed("score", "again"), "row", "left").withColumn("score", F.coalesce("again", "score"))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
