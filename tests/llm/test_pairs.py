@@ -160,3 +160,14 @@ def test_vectors_that_link_with_nothing(spark):
 
 def test_more_vectors_need_more_passes():
     assert ed.passes_for(10) == 4 <= ed.passes_for(10**4) < ed.passes_for(10**9)
+
+
+def test_links_of_labels_that_share_a_direction(spark):
+    r = np.random.default_rng(11)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    base = unit(np.sqrt(0.9) * np.eye(64)[0] + np.sqrt(0.1) * unit(r.standard_normal((6000, 64))))
+    near_by = unit(base[:1000] + 0.185 * unit(r.standard_normal((1000, 64))))
+    x = np.concatenate([base, near_by]).astype(np.float32).astype(float)
+    want = (unit(x) @ unit(x).T >= 0.98).sum(axis=1) - 1
+    got = {v.vec_id: v.n_links for v in ed.near_vectors(vectors(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).collect()}
+    assert want.sum() > 1900 and [got[i] for i in range(len(x))] == want.tolist()

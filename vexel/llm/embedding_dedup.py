@@ -5,9 +5,10 @@ projections) and each is compared with its neighbours in a window. Links of all
 all vectors of a group are compared with each other, in blocks of bounded size (graph.py), so a group that is larger
 than a window keeps all its links. Equal vectors are one node with a count of copies.
 
-The number of passes follows from the count of vectors: two vectors at the threshold agree on the first bits that
-tell a window apart with probability (1 - angle/pi)^log2(n/window), and the passes together miss such a pair with
-probability `miss` at most.
+The number of passes of a label follows from its codes: trial passes measure how many leading bits tell a vector's window
+apart, which is more where the vectors of a label share directions. Two vectors at the threshold agree on b bits with
+probability (1 - angle/pi)^b, and the passes together miss such a pair with probability `miss` at most, on the average
+of the label's vectors. Where even the window's ends are linked, neighbours hold the group together, so those don't count.
 
 Defined results: rows whose label or vector is null, whose vector is zero or empty or holds null or non-finite
 components, link with nothing; vectors of different lengths don't link; rows with equal ids and vectors count as
@@ -32,6 +33,9 @@ THRESHOLD = 0.98
 WINDOW = 48
 BITS = 62
 MISS = 1e-4
+TRIALS = 4
+#: Part of the windows that a range border doesn't cut.
+UNCUT = 0.98
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
@@ -39,6 +43,59 @@ def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss:
     return max(4, math.ceil(math.log(miss) / math.log(1 - agree)))
 
 
+def passes_of(bits: np.ndarray, rows: np.ndarray, threshold: float, miss: float) -> int:
+    """Passes that miss a pair at the threshold with probability `miss`, where so many rows need so many leading bits."""
+    lost, weight = 1 - UNCUT * (1 - math.acos(threshold) / math.pi) ** bits, rows / rows.sum()
+    hi = 1
+    while weight @ lost**hi > miss:
+        hi *= 2
+    lo = hi // 2
+    while hi - lo > 1:
+        at = (lo + hi) // 2
+        lo, hi = (at, hi) if weight @ lost**at > miss else (lo, at)
+    return hi
+
+
+def bits_needed(ordered: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(label, bits): for the rows of sorted codes, the leading bits that tell them from those a window before and after."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
+        for b in batches:
+            b = (b if tail is None else pd.concat([tail, b])).reset_index(drop=True)
+            tail = b.tail(2 * window)
+            if len(b) <= 2 * window:
+                continue
+            near, far = b.iloc[:-window], b.iloc[window:]
+            differ = (near["code"].to_numpy() ^ far["code"].to_numpy()).astype(np.float64)
+            bits = np.minimum(BITS, BITS + 1 - np.frexp(differ)[1])
+            same = (near[["number", "label", "dim"]].to_numpy() == far[["number", "label", "dim"]].to_numpy()).all(axis=1)
+            at = np.flatnonzero(same)
+            for dim, i in pd.Series(at).groupby(b["dim"].to_numpy()[at]):  # rows linked with the end of their window
+                x, y = directions(near["vector"].iloc[i]), directions(far["vector"].iloc[i])
+                same[i[np.einsum("ij,ij->i", x, y) >= threshold]] = False
+            bits = np.where(same, bits, 0)
+            both = np.maximum(bits[:-window], bits[window:])
+            middle = b.iloc[window:-window]
+            yield pd.DataFrame({"label": middle["label"].to_numpy(), "bits": both})[both > 0]
+
+    return ordered.mapInPandas(run, f"label {ordered.schema['label'].dataType.simpleString()}, bits int")
+
+
+def label_passes(nodes: DataFrame, threshold: float, window: int, miss: float) -> DataFrame:
+    """(label, passes) of the labels whose codes need more passes than `passes_for` the number of all vectors."""
+    found = bits_needed(in_order(codes(nodes.withColumn("passes", F.lit(TRIALS)))), threshold, window).groupBy("label", "bits").count()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "passes": [passes_of(pdf["bits"].to_numpy(np.float64), pdf["count"].to_numpy(np.float64), threshold, miss)]})
+
+    return found.groupBy("label").applyInPandas(run, f"label {nodes.schema['label'].dataType.simpleString()}, passes int")
+
+
+def in_order(coded: DataFrame) -> DataFrame:
+    return coded.repartitionByRange("number", "label", "dim", "code", "node").sortWithinPartitions("number", "label", "dim", "code", "node")
+
+
 @cache
 def planes(dim: int, number: int) -> np.ndarray:
     return np.random.default_rng(7919 * number + dim).standard_normal((dim, BITS))
@@ -49,18 +106,19 @@ def directions(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def codes(nodes: DataFrame, passes: int) -> DataFrame:
-    """(number, label, dim, code, node, vector): a row for each vector and pass."""
+def codes(nodes: DataFrame) -> DataFrame:
+    """(number, label, dim, code, node, vector): a row for each vector and each of its passes."""
     weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dim, part in b.groupby(b["vector"].map(len)):
-                x = np.array(part["vector"].tolist(), dtype=np.float64)
-                for p in range(passes):
+                for p in range(int(part["passes"].max())):
+                    part = part[part["passes"] > p]
+                    x = np.array(part["vector"].tolist(), dtype=np.float64)
                     yield pd.DataFrame({"number": p, "label": part["label"], "dim": dim, "code": (x @ planes(dim, p) > 0) @ weight, "node": part["node"], "vector": part["vector"]})
 
-    return nodes.select("node", "label", "vector").mapInPandas(run, f"number int, label {nodes.schema['label'].dataType.simpleString()}, dim int, code long, node binary, vector array<double>")
+    return nodes.select("node", "label", "vector", "passes").mapInPandas(run, f"number int, label {nodes.schema['label'].dataType.simpleString()}, dim int, code long, node binary, vector array<double>")
 
 
 def window_links(coded: DataFrame, threshold: float, window: int) -> DataFrame:
@@ -103,9 +161,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int =
     text = F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string")))
     v = cut(v.withColumn("node", F.when(F.coalesce(valid, F.lit(False)), F.unhex(F.md5(text)))))
     nodes = cut(v.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
-    coded = codes(nodes, passes_for(nodes.count(), threshold, window, miss))
-    ordered = coded.repartitionByRange("number", "label", "dim", "code", "node").sortWithinPartitions("number", "label", "dim", "code", "node")
-    groups = connected_components(window_links(ordered, threshold, window))
+    least = passes_for(nodes.count(), threshold, window, miss)
+    need = cut(label_passes(nodes, threshold, window, miss))
+    dealt = nodes.join(F.broadcast(need), "label", "left").withColumn("passes", F.greatest(F.coalesce("passes", F.lit(0)), F.lit(least)))
+    groups = connected_components(window_links(in_order(codes(dealt)), threshold, window))
     members = groups.join(nodes.select("node", "copies", "vector"), "node")
     found = gather(links_within(members, cosine(threshold), block), nodes)
     per = cut(nodes.join(found, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")))
