@@ -5,8 +5,9 @@ fewer words, but not none, is one window. Words of the items get numbers, so a d
 ends a run at once; the polynomial hash of a run's windows is looked up in the sorted hashes of the items, and every
 hit is verified on the word numbers themselves.
 
-The items are dealt into shards of at most `shard_windows` windows; each shard is a broadcast of its own, loaded by a
-task one after another, so what a task holds doesn't grow with the benchmark.
+The items are cut into pieces and dealt into shards of about `shard_windows` windows by a hash. Each shard is built once, on
+the driver, and broadcast by itself; the texts pass one shard after another, and are written between two shards, so neither
+the driver nor a task ever holds more than one shard, however large the benchmark is.
 
 Defined results: a null text or one without words has no hits; null items and repeated items are allowed, equal
 item_ids count once; items without an id hit like others, count as one item and have no name in the digest; an empty benchmark leaves all clean; each row of docs gives one row, repeated ids included;
@@ -16,19 +17,22 @@ other columns of docs are kept by `remove_hits` and ignored by `find_hits`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from vexel.llm.common import WORDS, lower_az, rows_where, word_list
+from vexel.llm.common import WORDS, free_name, lower_az, stored, word_list
 
 N = 10
 #: Windows in one broadcast: about 100 bytes each.
 SHARD_WINDOWS = 1_000_000
+#: Words of a piece of an item.
+PIECE = 5_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -43,98 +47,122 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Shard:
-    """The windows of some items, by length: sorted distinct hashes, the word numbers of each, and its items."""
+    """The windows of some pieces of items, by length: sorted hashes of the distinct windows, the word numbers of each, and its items."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, pieces: list[tuple[str | None, list[str]]], n: int):
         self.vocabulary: dict[str, int] = {}
-        lists = [(k, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in word_list(t)]) for k, t in items]
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, list[list[str]]]] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for k, ids in lists:
+        self.names = sorted({k for k, _ in pieces}, key=lambda k: (k is None, k or ""))
+        number = {k: i for i, k in enumerate(self.names)}
+        parts: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+        for k, words in pieces:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint32)
             size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(k)
-        for size, windows in found.items():
-            rows = np.array(list(windows), dtype=np.uint64).reshape(-1, size)
-            hashes = np.array([window_hashes(r, size)[0] for r in rows], dtype=np.uint64)
+            rows, owners = parts.setdefault(size, ([], []))
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+            owners.append(np.full(len(ids) - size + 1, number[k], dtype=np.int32))
+        #: size -> hashes, word numbers, where the items of a window start, items
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, (rows, owners) in parts.items():
+            windows, at = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            hashes = np.zeros(len(windows), dtype=np.uint64)
+            for i in range(size):
+                hashes = hashes * BASE + windows[:, i]
             order = np.argsort(hashes, kind="stable")
-            self.tables[size] = (hashes[order], rows[order], [list(x) for x in np.array([*windows.values(), None], dtype=object)[:-1][order]])
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            held = np.unique(np.stack([place[at.ravel()], np.concatenate(owners)], axis=1), axis=0)
+            self.tables[size] = hashes[order], windows[order], np.searchsorted(held[:, 0], np.arange(len(order) + 1)), held[:, 1].astype(np.int32)
 
-    def hits(self, words: list[str], hit: np.ndarray) -> set[str]:
+    def hits(self, words: list[str], hit: np.ndarray) -> set[str | None]:
         """Marks the hit words; the items with windows in the text."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        items: set[str] = set()
-        for size, (hashes, rows, names) in self.tables.items():
+        found: set[int] = set()
+        for size, (hashes, rows, start, owners) in self.tables.items():
             if len(ids) < size:
                 continue
-            starts = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(starts):
+            at = np.flatnonzero(unknown[size:] == unknown[:-size])
+            if not len(at):
                 continue
-            found = window_hashes(ids, size)[starts]
-            at = np.searchsorted(hashes, found)
-            for start, h, i in zip(starts, found, at):
-                while i < len(hashes) and hashes[i] == h:  # windows with equal hashes stand together
-                    if np.array_equal(rows[i], ids[start : start + size]):
-                        hit[start : start + size] = True
-                        items.update(names[i])
-                    i += 1
-        return items
-
-
-def shards_of(benchmark: DataFrame, n: int, shard_windows: int) -> list:
-    """Broadcast lists of (item_id, text). Items are read a partition at a time; one shard at a time is held."""
-    sc, part, windows, out = benchmark.sparkSession.sparkContext, [], 0, []
-    for r in benchmark.where("text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        size = max(1, len(word_list(r[1])) - n + 1)
-        if part and windows + size > shard_windows:
-            out.append(sc.broadcast(part))
-            part, windows = [], 0
-        part.append((r[0], r[1]))
-        windows += size
-    return [*out, sc.broadcast(part)] if part else out
-
-
-def scan(texts, shards: list, n: int) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
-    words = [word_list(t) for t in texts]
-    hit, items = [np.zeros(len(w), dtype=bool) for w in words], [set() for _ in words]
-    for b in shards:
-        shard = _shard(b, n, keep=len(shards) == 1)
-        for w, h, found in zip(words, hit, items):
-            if w:
-                found |= shard.hits(w, h)
-    return [len(w) for w in words], hit, items
-
+            h = window_hashes(ids, size)[at]
+            low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            some = np.flatnonzero(high > low)
+            for i, lo, hi in zip(at[some], low[some], high[some]):
+                for k in range(lo, hi):  # windows with equal hashes stand together
+                    if np.array_equal(rows[k], ids[i : i + size]):
+                        hit[i : i + size] = True
+                        found.update(owners[start[k] : start[k + 1]].tolist())
+        return {self.names[i] for i in found}
 
-_held: dict = {}
 
+def pieces_of(benchmark: DataFrame, n: int) -> DataFrame:
+    """(item, words, windows): items in pieces of PIECE words and the n - 1 after them, so that each window is in one piece."""
 
-def _shard(b, n: int, keep: bool) -> Shard:
-    if keep and (b.id if hasattr(b, "id") else id(b), n) in _held:
-        return _held[(b.id if hasattr(b, "id") else id(b), n)]
-    shard = Shard(b.value, n)
-    if keep:
-        _held.clear()
-        _held[(b.id if hasattr(b, "id") else id(b), n)] = shard
-    return shard
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, t in zip(b["item"], b["text"]):
+                words = word_list(t)
+                for at in range(0, len(words), PIECE):
+                    piece = words[at : at + PIECE + n - 1]
+                    if at == 0 or len(piece) >= n:
+                        out.append((k, piece, max(1, len(piece) - n + 1)))
+            yield pd.DataFrame(out, columns=["item", "words", "windows"])
+
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    return items.mapInPandas(run, "item string, words array<string>, windows long")
+
+
+def in_shards(docs: DataFrame, benchmark: DataFrame, n: int, shard_windows: int, step: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """Leads docs through `step` with one shard after another (the last is told so); what it gives is written between two."""
+    sc, pieces = docs.sparkSession.sparkContext, pieces_of(benchmark, n)
+    shards = max(1, -(-int(pieces.agg(F.sum("windows")).first()[0] or 0) // shard_windows))
+    if shards > 1:
+        pieces = stored(pieces.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(shards))))
+    for i in range(shards):
+        part = pieces if shards == 1 else pieces.where(F.col("shard") == i)
+        rows = [(r[0], list(r[1])) for r in part.select("item", "words").collect()]  # about shard_windows windows
+        sent, last = sc.broadcast(Shard(rows, n)), i == shards - 1
+        docs = step(docs, sent, last)
+        if not last:
+            docs = stored(docs)
+            sent.unpersist()
+    return docs
+
+
+def scan(texts, shard: Shard, hits: list[bytes | None] | None, items: list | None) -> tuple[list[list[str]], list[np.ndarray], list[set]]:
+    """(words, hit, items) of each text, with what earlier shards have found: hit words as packed bits, items."""
+    words = [word_list(t) for t in texts]
+    hit = [np.zeros(len(w), dtype=bool) if x is None else np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(w)).astype(bool) for w, x in zip(words, hits or [None] * len(words))]
+    found = [set() if x is None else set(x) for x in (items or [None] * len(words))]
+    for w, h, f in zip(words, hit, found):
+        if w:
+            f |= shard.hits(w, h)
+    return words, hit, found
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, shard_windows: int = SHARD_WINDOWS, id_col: str = "doc_id") -> DataFrame:
     """For each row of docs: its id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    shards = shards_of(benchmark, n, shard_windows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            count, hit, items = scan(b["text"], shards, n)
-            yield pd.DataFrame({
-                id_col: b[id_col], "n_words": count, "n_hit": [int(h.sum()) for h in hit], "n_items": [len(x) for x in items],
-                "items_sha256": [hashlib.sha256(",".join(sorted(x - {None})).encode()).hexdigest() for x in items],
-                "contaminated": [bool(x) for x in items],
-            })
+    def step(df: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shard = sent.value
+            for b in batches:
+                words, hit, items = scan(b["text"], shard, *((b["hit"].tolist(), b["items"].tolist()) if "hit" in b else (None, None)))
+                if last:
+                    yield pd.DataFrame({
+                        id_col: b["id"], "n_words": [len(w) for w in words], "n_hit": [int(h.sum()) for h in hit], "n_items": [len(x) for x in items],
+                        "items_sha256": [hashlib.sha256(",".join(sorted(x - {None})).encode()).hexdigest() for x in items],
+                        "contaminated": [bool(x) for x in items],
+                    })
+                else:
+                    yield pd.DataFrame({"id": b["id"], "text": b["text"], "hit": [np.packbits(h).tobytes() for h in hit], "items": [list(x) for x in items]})
+
+        kind = df.schema["id"].dataType.simpleString()
+        return df.mapInPandas(run, f"{id_col} {kind}, {HITS}" if last else f"id {kind}, text string, hit binary, items array<string>")
 
-    narrow = docs.select(id_col, "text")
-    return narrow.mapInPandas(run, f"{id_col} {narrow.schema[id_col].dataType.simpleString()}, {HITS}")
+    return in_shards(docs.select(F.col(id_col).alias("id"), "text"), benchmark, n, shard_windows, step)
 
 
 def without_spans(text: str, hit: np.ndarray) -> str:
@@ -149,16 +177,29 @@ def without_spans(text: str, hit: np.ndarray) -> str:
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, unit: str = "documents", n: int = N, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """docs without the contaminated rows (unit "documents"), or with the hit runs cut out of their texts ("spans")."""
-    shards = shards_of(benchmark, n, shard_windows)
-    if unit == "documents":
-        return rows_where(docs, "text", lambda texts: [not x for x in scan(texts, shards, n)[2]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            _, hit, items = scan(texts, shards, n)
-            left = [without_spans(t, h) if x else t for t, h, x in zip(texts, hit, items)]
-            at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array(left, type=b.schema.field(at).type))
-
-    return docs.mapInArrow(run, docs.schema)
+    name = free_name(docs, "__hit")
+
+    def step(df: DataFrame, sent: Broadcast, last: bool) -> DataFrame:
+        marked = df.schema[-1].name == name
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard = sent.value
+            for b in batches:
+                texts = b.column("text").to_pylist()
+                _, hit, items = scan(texts, shard, b.column(name).to_pylist() if marked else None, None)
+                if marked:
+                    b = b.select(b.schema.names[:-1])
+                if unit == "documents":
+                    keep = [not h.any() for h in hit]
+                    b, hit = b.filter(pa.array(keep, type=pa.bool_())), [h for h, k in zip(hit, keep) if k]
+                elif last:
+                    left = [without_spans(t, h) if h.any() else t for t, h in zip(texts, hit)]
+                    at = b.schema.get_field_index("text")
+                    b = b.set_column(at, b.schema.field(at), pa.array(left, type=b.schema.field(at).type))
+                if not last:
+                    b = b.append_column(name, pa.array([np.packbits(h).tobytes() for h in hit], type=pa.binary()))
+                yield b
+
+        return df.mapInArrow(run, docs.schema if last else docs.select("*", F.lit(None).cast("binary").alias(name)).schema)
+
+    return in_shards(docs, benchmark, n, shard_windows, step)
