@@ -35,13 +35,19 @@ def urls():
     return out
 
 
-@pytest.mark.parametrize("bound", [uf.MAX_LEVEL_BITS, 8])
+@pytest.mark.parametrize("bound", [uf.MAX_BITS, 256])
 def test_verdicts_are_exact(spark, bound):
     listed = [f"spam{i}.example.{e}" for i in range(60) for e in ("com", "org")] + ["q7.example.net", "absent.example.com"]
-    rows = [(i, u, "") for i, u in enumerate(urls())]
-    df = uf.filter_urls(pages(spark, rows), spark.createDataFrame([(k,) for k in listed], "key string"), max_level_bits=bound)
+    rows = [(i, u, "") for i, u in enumerate([*urls(), "http://spam1.example.com/" + "x" * 200_000, "http://" + "a." * 50_000 + "spam2.example.com/"])] + [(None, "http://spam3.example.com/", "")]
+    df = uf.filter_urls(pages(spark, rows), spark.createDataFrame([(k,) for k in listed], "key string"), max_bits=bound)
     got = {r.page_id: tuple(r)[1:] for r in df.collect()}
     assert got == {i: by_hand(u, listed) for i, u, _ in rows}
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_level_one_grows_with_the_ratio_of_others_to_listed():
+    assert uf.first_bits(100, 100) == uf.first_bits(1, 0) == uf.BITS_PER_KEY
+    assert 100 * 0.6185 ** uf.first_bits(1000, 10**9) <= 1000 / 10**9 * 100
 
 
 def test_cascade_is_exact_over_its_universe(spark):
@@ -101,6 +107,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_a_page(trees):
+    assert hx.extract_all([PAGE.replace("bold<br>", "<math><mi>b</mi></math><label>o</label><noscript><i>l</i></noscript><object>d</object><br>")], trees) == hx.extract_all([PAGE], trees)
     assert hx.extract_all([PAGE], trees) == ["A & B\nFirst line é! bold after\nSecond link.\none\ntwo\nThird paragraph."]
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from vexel.shared import cut, stored
+
+__all__ = ["cut", "stored"]
+
 #: Lower-cased words: ASCII letters and digits, and everything beyond ASCII.
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = re.compile(WORD_CLASS)
@@ -51,29 +53,6 @@ def bounded_sample(df: DataFrame, label: str, per_label: int, *keys: str) -> Dat
     return df.where(place < F.element_at(F.create_map(*parts), F.col(label)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vexel-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder; what follows reads it from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder, and read again."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def rows_where(df: DataFrame, column: str, test: Callable[[list], list[bool]]) -> DataFrame:
     """The rows of df whose value in the column passes; other columns pass through untouched, whatever their names."""
 

@@ -9,8 +9,8 @@ be kept inside a dropped sidebar.
 The trees are trained on pages from a generator of layouts (`training_pages`), in which each block is known to be main
 text or not; word lengths and link texts are random, so only structure, attributes and densities can be learnt.
 
-What is inside scripts, styles, forms' controls, templates and the head is dropped by name. Character references are
-decoded, white space inside a block becomes one space, blocks are joined by one newline in page order; br is white
+What is inside scripts, styles, forms' controls, templates, frames and the head is dropped by name; the words of any other
+element (math, svg, label, noscript, object, ...) belong to the block that they stand in. Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline in page order; br is white
 space. Defined results: null or empty html, or a page without main text, gives an empty text; unclosed and misnested
 tags are repaired as browsers do for the common cases; repeated rows are extracted alike; an empty table gives an empty
 result; other columns are ignored.
@@ -21,8 +21,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = set("script style noscript template iframe object svg math head title button select option textarea label input canvas audio video map".split())
-RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
+DROPPED = set("script style template iframe head title button select option optgroup datalist textarea input".split())
+RAW = set("script style textarea title iframe".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 KEEPS_P = set("html body td th tbody thead tfoot tr".split())
 #: What a start tag closes, up to the listed boundary.
@@ -221,11 +223,11 @@ def features(nodes: list[Node], texts: list[str]) -> np.ndarray:
     total = max(1.0, sub[0, 0])
     before = np.concatenate([[0], np.cumsum(chars)[:-1]])
     kids = np.array([len(x.kids) for x in nodes])
-    sums, counts, same = np.zeros(n), np.zeros(n), np.zeros(n)
+    sums, counts = np.zeros(n), kids.astype(np.float64)
     np.add.at(sums, up[1:], sub[1:, 0])
-    counts[:] = kids
-    for i in range(1, n):
-        same[i] = sum(nodes[k].tag == nodes[i].tag for k in nodes[up[i]].kids) if counts[up[i]] <= 40 else counts[up[i]]
+    tags = Counter((x.up, x.tag) for x in nodes)
+    same = np.array([tags[x.up, x.tag] for x in nodes], dtype=np.float64)
+    same[0] = 0
     place = np.zeros(n)
     for x in nodes:
         for j, k in enumerate(x.kids):
@@ -425,7 +427,9 @@ def labels_of(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+@cache
 def train(pages: int = 1000, seed: int = 11) -> Trees:
+    """Trees fitted on so many generated pages; once a session."""
     r, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
         nodes = parse(training_page(r))

@@ -5,6 +5,11 @@ Only DataFrame functions run on the main path. The cascade is built over the cor
 accepts by mistake, level 3 the listed hosts that level 2 accepts, and so on until a level makes no mistake. A host
 is listed if the first level that rejects it has an even number, so no url is joined with the list.
 
+Level 1 gets so many bits a key that it lets about as many other hosts pass as there are listed ones; so the cascade grows
+with the list and the logarithm of the universe, not with the universe. Where it would pass `max_bits`, hosts are dealt by a
+hash into shards with a cascade of their own, and the urls of one shard after another are judged by its cascade; so no task
+or driver holds more than one cascade of about `max_bits`.
+
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed. Repeated
 rows are judged alike. Empty tables give empty results. Other columns of the input are ignored.
 """
@@ -13,11 +18,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from vexel.llm.common import ascii_lower, cut
+from vexel.llm.common import ascii_lower, cut, stored
 
 #: (verdict, host, path prefix)
 RULES = [
@@ -30,8 +36,10 @@ RULES = [
 #: Registered names on the default blocklist, under each of the three endings.
 LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED = [f"{name}.example.{end}" for name in LISTED_NAMES for end in ("com", "net", "org")]
-#: A level with more bits than this isn't sent to the tasks (16 MB); the list is then joined by key.
-MAX_LEVEL_BITS = 1 << 27
+#: Bits of a level sent to the tasks at once (16 MB); a longer list is dealt into shards.
+MAX_BITS = 1 << 27
+#: Bits a key of the levels after the first, and of the first at least: 2 % of the others pass.
+BITS_PER_KEY = 8
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -57,10 +65,11 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return name, verdict
 
 
-def domains(host: Column) -> Column:
-    """A host and its parent domains: a.b.c, b.c, c. An empty host has none."""
+def domains(host: Column, most: int) -> Column:
+    """A host and its parent domains of up to `most` labels: a.b.c, b.c, c. An empty host has none."""
     parts = F.split(host, r"\.")
-    return F.when(host != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(
+    first = F.greatest(F.lit(1), F.size(parts) - most + 1)
+    return F.when(host != "", F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(
         F.array().cast("array<string>")
     )
 
@@ -98,19 +107,24 @@ def level_of(keys: DataFrame, n: int, seed: int, bits_per_key: int) -> Level:
 
 def listed_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     """The hosts (column `key`) that are a listed domain or under one."""
-    named = hosts.select(F.col("key").alias("host"), F.explode(domains(F.col("key"))).alias("key"))
+    most = listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 0
+    named = hosts.select(F.col("key").alias("host"), F.explode(domains(F.col("key"), most)).alias("key"))
     return named.join(listed.select("key"), "key", "left_semi").select(F.col("host").alias("key")).distinct()
 
 
-def build_cascade(universe: DataFrame, held: DataFrame, bits_per_key: int = 8, max_level_bits: int = MAX_LEVEL_BITS) -> list[Level] | None:
-    """Levels that tell `held` from the rest of `universe` (both distinct, column `key`); [] if nothing is held, None if a level would pass max_level_bits."""
+def first_bits(listed: int, others: int, least: int = BITS_PER_KEY) -> int:
+    """Bits a key of level 1, at which about `listed` of the others pass."""
+    return max(least, math.ceil(math.log2(max(1.0, others / max(1, listed))) / math.log(2)))
+
+
+def build_cascade(universe: DataFrame, held: DataFrame, bits_per_key: int = BITS_PER_KEY) -> list[Level]:
+    """Levels that tell `held` from the rest of `universe` (both distinct, column `key`); [] if nothing is held."""
     both = universe.select("key", F.lit(0).alias("on")).unionByName(held.select("key", F.lit(1).alias("on")))
     keys = cut(both.groupBy("key").agg(F.max("on").alias("on")))
     inside, outside, levels = keys.where("on = 1").select("key"), keys.where("on = 0").select("key"), []
     while n := inside.count():
-        if n * bits_per_key > max_level_bits:
-            return None
-        levels.append(level_of(inside, n, len(levels) + 1, bits_per_key))
+        bits = bits_per_key if levels else first_bits(n, outside.count(), bits_per_key)
+        levels.append(level_of(inside, n, len(levels) + 1, bits))
         inside, outside = cut(outside.where(levels[-1].accepts(F.col("key")))), inside
     return levels
 
@@ -123,22 +137,31 @@ def member(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", max_level_bits: int = MAX_LEVEL_BITS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, host, path, rule, verdict) for each row of pages; `listed` has the blocked domains in column `key`."""
     df = with_parts(pages.select(F.col(id_col).alias("__id"), F.col("url").alias("__u")), "__u")
     hosts = cut(df.select(F.col("__host").alias("key")).where("key <> ''").distinct())
     held = cut(listed_hosts(hosts, listed))
-    levels = build_cascade(hosts, held, max_level_bits=max_level_bits)
-    if levels is None:  # beyond the bound nothing is sent to the tasks: a join by host
-        df = df.join(held.select(F.col("key").alias("__host"), F.lit(True).alias("__held")), "__host", "left")
-        inside = F.coalesce(F.col("__held"), F.lit(False))
-    else:
-        inside = (F.col("__host") != "") & member(F.col("__host"), levels)
+    n, universe = held.count(), hosts.count()
+    shards = max(1, math.ceil(n * first_bits(n, universe - n) / max_bits))
     rule, verdict = rule_columns(F.col("__host"), F.col("__path"), rules)
-    return df.select(
-        F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"),
-        F.coalesce(verdict, F.when(inside, "block").otherwise("allow")).alias("verdict"),
-    )
+
+    def judged(urls: DataFrame, levels: list[Level]) -> DataFrame:
+        inside = (F.col("__host") != "") & member(F.col("__host"), levels)
+        return urls.select(
+            F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"),
+            F.coalesce(verdict, F.when(inside, "block").otherwise("allow")).alias("verdict"),
+        )
+
+    if shards == 1:
+        return judged(df, build_cascade(hosts, held))
+
+    def of(rows: DataFrame, host: str, i: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64(F.lit("shard"), host), F.lit(shards)) == i)
+
+    urls = stored(df.select("__id", "__host", "__path"))
+    parts = [stored(judged(of(urls, "__host", i), build_cascade(of(hosts, "key", i), of(held, "key", i)))) for i in range(shards)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def default_list(spark) -> DataFrame:
