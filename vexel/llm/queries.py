@@ -51,7 +51,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("virtual_finish")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = rf"""
@@ -92,11 +92,16 @@ lv AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BET
                  / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
 fin AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS final FROM lv),
 tg AS (SELECT src, source_size, least(CAST(cap AS DOUBLE), coalesce(final, 'inf'::DOUBLE) * w) AS target FROM fin),
-o AS (SELECT s.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef FROM s)
-SELECT doc_id, size, source_size, target, CAST(
-  greatest(0, least(size, CAST(floor(target) AS BIGINT) - bef)) + greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - bef))
-  + greatest(0, least(size, CAST(floor(target) AS BIGINT) - 2 * source_size - bef)) AS BIGINT) AS taken
-FROM o JOIN tg USING (src)
+o AS (SELECT s.*, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef FROM s),
+q AS (SELECT * FROM o JOIN tg USING (src)),
+cp AS (SELECT src, size, target, unnest([bef, source_size + bef, 2 * source_size + bef]) AS beg FROM q WHERE size > 0),
+pk AS (SELECT src, target, beg + ofs AS start, least({mixing.QUANTUM}, size - ofs) AS words FROM (SELECT *, unnest(range(0, size, {mixing.QUANTUM})) AS ofs FROM cp WHERE beg < target)),
+gl AS (SELECT src, words, coalesce(sum(words) OVER (ORDER BY (start + words) / target, src, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM pk WHERE start < target),
+sv AS (SELECT src, CAST(sum(least(words, (SELECT sum(size) FROM s) - b)) AS BIGINT) AS served FROM gl WHERE b < (SELECT sum(size) FROM s) GROUP BY src)
+SELECT doc_id, size, source_size, target, CASE WHEN target > 0 THEN (bef + size) / target END AS virtual_finish, CAST(
+  greatest(0, least(size, coalesce(served, 0) - bef)) + greatest(0, least(size, coalesce(served, 0) - source_size - bef))
+  + greatest(0, least(size, coalesce(served, 0) - 2 * source_size - bef)) AS BIGINT) AS taken
+FROM q LEFT JOIN sv USING (src)
 """
 
 
