@@ -12,7 +12,10 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
-from vexel.shared import stored
+from vexel.shared import cut, stored
+
+#: Rows of the table of starts (one for each group and partition) that are broadcast; more are joined.
+MOST_STARTS = 100_000
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], value: str | None = None) -> DataFrame:
@@ -32,5 +35,6 @@ def running(rows: DataFrame, by: list[str], order: list[str], value: str | None
     inside = W.partitionBy("__part", *by).orderBy(*order, "__tie")
     numbered = parts.withColumn("__i", F.row_number().over(inside) - 1).withColumn("__sum", zero(F.sum(x).over(inside.rowsBetween(*before))))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], F.col("__part") == F.col("__of_part"))
-    out = numbered.join(starts, same)
+    starts = cut(starts)
+    out = numbered.join(F.broadcast(starts) if starts.count() <= MOST_STARTS else starts, same)
     return out.select(*rows.columns, (F.col("__n") + F.col("__i")).alias("__place"), (F.col("__s") + F.col("__sum")).alias("__before"))

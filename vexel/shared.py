@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +36,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
+    """rows joined with a table that is mostly small: broadcast if it has up to `most` rows, else an ordinary join."""
+    small = cut(small)
+    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
