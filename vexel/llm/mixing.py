@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 
 from vexel.llm.common import TOKEN_CLASS, stored
 from vexel.operators.ordered import running
+from vexel.shared import join_small
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -64,7 +65,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 def queued(sized: DataFrame, weights: tuple[int, ...], max_epochs: int, share: float = 1.0) -> DataFrame:
     """(doc_id, __src, size, __row, source_size, target, __begin): __begin is the words of the source's documents earlier in the queue."""
     placed = running(sized.select("doc_id", "__src", "size", "__shuffled", "__row"), ["__src"], ["__shuffled", "doc_id", "size"], "size")
-    out = placed.withColumnRenamed("__before", "__begin").join(targets(sized, weights, max_epochs, share), "__src")
+    out = join_small(placed.withColumnRenamed("__before", "__begin"), targets(sized, weights, max_epochs, share), ["__src"])
     return stored(out.select("doc_id", "__src", "size", "__row", "source_size", "target", "__begin"))
 
 
@@ -91,7 +92,7 @@ def taken(epochs: int, limit: Column, before: Column, size: Column, source_size:
 
 
 def with_served(queue: DataFrame, max_epochs: int, share: float) -> DataFrame:
-    return queue.join(served(queue, max_epochs, share=share), "__src", "left").withColumn("served", F.coalesce("served", F.lit(0)))
+    return join_small(queue, served(queue, max_epochs, share=share), ["__src"], "left").withColumn("served", F.coalesce("served", F.lit(0)))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, share: float = 1.0) -> DataFrame:
