@@ -153,7 +153,7 @@ def test_contaminated_rows_and_spans_go(spark):
 # --- LM scoring ---
 
 
-def brute_ppm(training, text, most=None):
+def brute_ppm(training, text):
     """Prediction by partial matching with dicts: the same contexts, escapes and exclusions."""
     counts = defaultdict(Counter)
     for t in training:
@@ -161,18 +161,12 @@ def brute_ppm(training, text, most=None):
         for i in range(lm.ORDER, len(b)):
             for k in range(lm.ORDER + 1):
                 counts[b[i - k : i]][b[i]] += 1
-        for w in lm.tokens_of(t):
-            x = b" " + w + b" "
-            for k in range(lm.ORDER + 1, lm.LONGEST + 1):
-                for i in range(k, len(x)):
-                    counts[x[i - k : i]][x[i]] += 1
-    names = [c for c in counts if len(c) <= lm.ORDER or all(c[j:] in counts for j in range(len(c)))]
 
     def p(context, s):
         if context is None:
             return 1 / lm.SYMBOLS
         shorter = context[1:] if context else None
-        if context not in counts or context not in known:
+        if context not in counts:
             return p(shorter, s)
         c = counts[context]
         n, d = sum(c.values()), len(c)
@@ -181,15 +175,15 @@ def brute_ppm(training, text, most=None):
             return c[s] / n
         return (c[s] - 0.5) / n if s in c else 0.5 * d / n * p(shorter, s) / left
 
-    known, seen, out = set(names), defaultdict(Counter), 0.0
-    b = bytes([lm.END]) * lm.LONGEST + lm.coded(lm.tokens_of(text))
-    for i in range(lm.LONGEST, len(b)):
-        low = p(b[i - lm.LONGEST : i], b[i])
-        if i >= lm.LONGEST + lm.LONGEST + lm.ADAPTIVE - lm.LONGEST:
+    seen, out = defaultdict(Counter), 0.0
+    b = bytes([lm.END]) * lm.ORDER + lm.coded(lm.tokens_of(text))
+    for i in range(lm.ORDER, len(b)):
+        low = p(b[i - lm.ORDER : i], b[i])
+        if i >= lm.ORDER + lm.ADAPTIVE:
             c = seen[b[i - lm.ADAPTIVE : i]]
             n = sum(c.values())
             if n:
-                left = 1 - sum(p(b[i - lm.LONGEST : i], x) for x in c)
+                left = 1 - sum(p(b[i - lm.ORDER : i], x) for x in c)
                 low = (c[b[i]] - 0.5) / n if b[i] in c else 0.5 * len(c) / n * low / max(left, 1e-9)
             c[b[i]] += 1
         out += math.log10(low)
@@ -216,41 +210,35 @@ def test_scores_equal_brute_force(spark):
         assert got[i].score == pytest.approx(brute_ppm(training, t), abs=2e-3, rel=1e-4)
 
 
-def test_distributions_sum_to_one(spark):
-    trie = lm.build_trie(*(x for x in _counts(spark, [t for _, t, *_ in told()])))
-    p = 10.0 ** trie.log10.astype(float)
-    unseen = lm.SYMBOLS - (p.shape[1] - 1)
-    assert p[:, :-1].sum(axis=1) + unseen * p[:, -1] == pytest.approx(np.ones(len(p)), abs=1e-4)
-
-
-def _counts(spark, texts):
-    c = lm.gather_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
-    return c.where("window is not null").select("window", "n"), c.where("word is not null").select("word", "n")
-
-
-def test_few_contexts_still_score(spark):
-    rows = told()
-    few = {r.doc_id: r.score for r in lm.score_texts(docs(spark, rows), most=5).collect()}
-    all_ = {r.doc_id: r.score for r in lm.score_texts(docs(spark, rows)).collect()}
-    assert sum(few.values()) < sum(all_.values()) < 0
+def test_distributions_sum_to_one():
+    raw = [lm.coded(lm.tokens_of(t)) for _, t, *_ in told()]
+    g, n = lm.windows(raw, [True] * len(raw))
+    levels = []
+    for o in range(lm.ORDER + 1):
+        levels.append(lm.level(levels, g.view(np.uint64) & np.uint64((1 << (8 * (o + 1))) - 1), n))
+    r = random.Random(2)
+    for context in [*r.sample(sorted(g >> 8), 40), 0x4141414141]:
+        every = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert lm.probability(levels, every).sum() + 1 / 257 * 0 == pytest.approx(1, abs=0.02)
 
 
 def test_every_context_of_the_corpus_counts(spark):
     r = random.Random(3)
     v = ["".join(r.choices("abcdefghij", k=r.randint(4, 11))) for _ in range(900)] + ["nul\0nul", "Übungen"]
     rows = [(i, " ".join(r.choices(v, k=9)), "en", "s") for i in range(400)]
+    rows += [(400 + i, f"{t} {t} {t[:-3]}zq {t}", "en", "s") for i, (_, t, *_) in enumerate(rows[:40])]  # contexts that repeat and go on another way
     whole = {x.doc_id: x.score for x in lm.score_texts(docs(spark, rows)).collect()}
-    joined = {x.doc_id: x.score for x in lm.score_texts(docs(spark, rows), sent_windows=50).collect()}
+    joined = {x.doc_id: x.score for x in lm.score_texts(docs(spark, rows), sent_windows=50, frequent=7).collect()}
     assert joined == pytest.approx(whole, rel=1e-6)
     training = [t for i, t, *_ in rows if held(i, 10)]
-    for i, t, *_ in [x for x in rows if not held(x[0], 10)][:3] + rows[:3]:
+    for i, t, *_ in [x for x in rows if not held(x[0], 10)][:3] + rows[:3] + rows[400:404]:
         assert whole[i] == pytest.approx(brute_ppm(training, t), abs=2e-3, rel=1e-4)
 
 
 def test_far_repeats_in_a_long_text_count(monkeypatch):
     raw = [lm.coded(lm.tokens_of(t)) for _, t, *_ in told()]
     known = lm.Known(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
-    keys = np.unique(np.concatenate([k for k in lm.whole_scores(raw, known)[1]]).view(np.uint64))
+    keys = np.sort(lm.windows(raw, [True] * len(raw))[0].view(np.uint64))
     more = (keys, np.full(len(keys), -1.0))
     one = lm.whole_scores(raw, known, more)[0]
     monkeypatch.setattr(lm, "PIECE", 40)

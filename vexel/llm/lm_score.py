@@ -1,19 +1,18 @@
 """LM scoring by prediction by partial matching over bytes.
 
 Texts are lower-cased (A-Z) and cut into tokens; the model codes the tokens joined by single spaces, as UTF-8 bytes,
-then one end symbol, each byte given up to seven before it. Counts of all five-byte windows of the training texts are
-gathered from the whole corpus: the context trie of orders 0 to 4. Its contexts of orders 5 to 7 stay within a word and
-the space before it; their counts come from the counts of all words. Escapes are estimated by method D (d distinct of
+then one end symbol, each byte given up to five before it. Counts of all six-byte windows of the training texts are
+gathered from the whole corpus: the context trie of orders 0 to 5. Escapes are estimated by method D (d distinct of
 n symbols seen: escape d/2n, half a count from each of the d), and symbols seen in a longer context are excluded from the shorter ones, so each
 context holds a proper distribution; the code length of a text is the sum of -log10 of its bytes' probabilities. The
 blended distributions are computed once, before scoring (the pretrained part). Above them stands one adaptive order: the
 twelve bytes before, if they stood earlier in the text, predict what followed them there.
 
-Size: every context that the corpus holds counts. A byte's probability depends on its window only: five bytes, or six to
-eight within a word. Each distinct window of the corpus is given its probability once, in shards by the last three bytes
-of its context, which hold all that the longer contexts need. The SENT most frequent windows are sent to the tasks, and
-the others that a text has are joined to it by key. (`most` bounds the contexts of each order from 3 on instead, to those of a
-trie on the driver.)
+Size: every context that the corpus holds counts. A byte's probability depends on its window only. Each distinct window
+of the corpus is given its probability once, in shards by the last three bytes of its context, which hold all that the
+longer contexts need. The SENT most frequent windows are sent to the tasks. A text's other windows are joined by key and their
+probabilities added to its score; only where the adaptive order needs one of them (a repeated context that goes on another way)
+is the text itself scored again, with its windows beside it.
 
 The base is a unigram model of tokens. Its counts cover all training texts; the FREQUENT most frequent words are sent
 to the tasks, and all others are joined by word.
@@ -36,18 +35,16 @@ from pyspark.sql import DataFrame
 from vexel.llm.common import fold, stored
 
 FOLDS, HELD_OUT = 10, 0
-ORDER, LONGEST = 4, 7
+ORDER = 5
 END = 0xFF  # not a byte of UTF-8
 SYMBOLS = 257
-MAX_CONTEXTS, MODEL_BYTES = 1 << 16, 40_000_000
-FREQUENT = 60_000
+FREQUENT = 200_000
 #: Windows sent to the tasks, and windows of a shard.
 SENT, SHARD = 3_000_000, 200_000
-#: Distinct words, and bytes of windows, that a task gathers before it hands counts on.
-FLUSH_WORDS, FLUSH_BYTES = 400_000, 8_000_000
-#: Texts whose tokens a task holds at a time.
-STEP = 128
-PIECE = 500_000
+#: Distinct words and windows that a task gathers before it hands counts on, and bytes of text that it counts at a time.
+FLUSH_WORDS, FLUSH_WINDOWS, FLUSH_BYTES = 400_000, 2_000_000, 4_000_000
+#: Texts whose tokens a task holds at a time, and bytes that it scores at a time (a longer text is scored whole).
+STEP, PIECE = 128, 500_000
 #: Bytes of the adaptive context.
 ADAPTIVE = 12
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -60,152 +57,96 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def coded(tokens: list[bytes]) -> bytes:
-    return b" ".join(tokens).replace(b"\0", b"\xC0") + bytes([END])  # 0xC0 is no byte of UTF-8; so no window starts with a zero
+    return b" ".join(tokens) + bytes([END])
 
 
 def word_of(token: bytes) -> str:
     return token.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode()
 
 
-def windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct five-byte windows of the coded texts, as numbers, and their counts; ends stand before a text."""
+def window_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, text, places) of coded texts behind ORDER ends each, and the window that ends at each place, as a number."""
     b = np.frombuffer(b"".join(bytes([END]) * ORDER + r for r in raw), dtype=np.uint8)
-    code = b[: len(b) - ORDER].astype(np.int64)
-    for i in range(1, ORDER + 1):
-        code = (code << 8) | b[i : len(b) - ORDER + i]
-    first, ok = np.cumsum([0, *(len(r) + ORDER for r in raw[:-1])]), np.ones(len(code), dtype=bool)
-    for i in range(1, ORDER + 1):  # windows that end among the ends before a later text
-        ok[first[1:] - i] = False
-    return np.unique(code[ok], return_counts=True)
+    sizes = np.array([len(r) + ORDER for r in raw])
+    text = np.repeat(np.arange(len(raw)), sizes)
+    return b, text, np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def codes_at(b: np.ndarray) -> np.ndarray:
+    """The window that ends at each byte from the ORDER-th on, as a number."""
+    code = np.zeros(max(0, len(b) - ORDER), dtype=np.uint64)
+    for i in range(ORDER + 1):
+        code = (code << np.uint64(8)) | b[i : len(b) - ORDER + i]
+    return code
+
+
+def windows(raw: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of the coded texts and their counts in those that are learnt from."""
+    b, text, place = window_keys(raw)
+    inside = place[ORDER:] >= ORDER
+    key, at = np.unique(codes_at(b)[inside], return_inverse=True)
+    return key.view(np.int64), np.bincount(at, weights=np.array(learn, dtype=np.float64)[text[ORDER:][inside]], minlength=len(key)).astype(np.int64)
 
 
 def gather_counts(docs: DataFrame) -> DataFrame:
-    """(word, window, n): counts of the tokens ("" is the end) and of the windows of all rows of docs (text)."""
+    """(word, window, n): counts of the tokens ("" is the end) and windows of all rows of docs (text, learn); windows of other rows count 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[bytes] = Counter()
-        raw, held = [], 0
+        raw, learn, held = [], [], 0
+        key, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            more, times = windows(raw, learn)
+            raw.clear()
+            learn.clear()
+            both, at = np.unique(np.concatenate([key, more]), return_inverse=True)
+            return both, np.bincount(at, weights=np.concatenate([n, times]), minlength=len(both)).astype(np.int64)
 
         def out_words() -> pd.DataFrame:
             out = pd.DataFrame({"word": [word_of(w) for w in words], "window": None, "n": list(words.values())})
             words.clear()
             return out
 
-        def out_windows() -> pd.DataFrame:
-            code, n = windows(raw)
-            raw.clear()
-            return pd.DataFrame({"word": None, "window": code, "n": n})
-
         for b in batches:
-            for t in b["text"]:
+            for t, known in zip(b["text"], b["learn"]):
                 found = tokens_of(t)
-                words.update(found)
-                words[b""] += 1
+                if known:
+                    words.update(found)
+                    words[b""] += 1
                 raw.append(coded(found))
+                learn.append(known)
                 held += len(raw[-1])
                 if held >= FLUSH_BYTES:
-                    yield out_windows()
+                    key, n = counted()
                     held = 0
+                    if len(key) >= FLUSH_WINDOWS:
+                        yield pd.DataFrame({"word": None, "window": key, "n": n})
+                        key, n = key[:0], n[:0]
             if len(words) >= FLUSH_WORDS:
                 yield out_words()
         if words:
             yield out_words()
         if raw:
-            yield out_windows()
-
-    return docs.select("text").mapInPandas(run, "word string, window long, n long").groupBy("word", "window").agg(F.sum("n").alias("n"))
+            key, n = counted()
+        yield pd.DataFrame({"word": None, "window": key, "n": n})
 
+    return docs.select("text", "learn").mapInPandas(run, "word string, window long, n long").groupBy("word", "window").agg(F.sum("n").alias("n"))
 
-def word_windows(words: DataFrame, order: int, suffixes: np.ndarray) -> DataFrame:
-    """(g, n): the windows of order + 1 bytes inside of " word ", by the counts of words (word, n), whose contexts' next shorter contexts are among suffixes."""
-    mask = (1 << (8 * (order - 1))) - 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw = [f" {w} ".encode("utf-8", "surrogatepass") for w in b["word"]]
-            x, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw])
-            if len(x) <= order:
-                continue
-            code = x[: len(x) - order].astype(np.uint64)
-            for i in range(1, order + 1):
-                code = (code << np.uint64(8)) | x[i : len(x) - order + i]
-            left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(x)))[: len(code)]  # bytes of the word from here on
-            short = (code >> np.uint64(8)) & np.uint64(mask)
-            at = np.minimum(np.searchsorted(suffixes, short), max(0, len(suffixes) - 1))
-            ok = (left > order) & (suffixes[at] == short)
-            g, inverse = np.unique(code[ok].view(np.int64), return_inverse=True)
-            n = np.repeat(b["n"].to_numpy(np.int64), sizes)[: len(code)][ok]
-            yield pd.DataFrame({"g": g, "n": np.bincount(inverse, weights=n, minlength=len(g)).astype(np.int64)})
-
-    return words.where("word <> ''").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def context_counts(g: DataFrame, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From windows (g, n): contexts as numbers, the byte after them, and the counts, of the `most` most frequent contexts."""
-    if most is not None:
-        g = stored(g.withColumn("c", F.shiftrightunsigned("g", 8)))
-        top = g.groupBy("c").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "c").limit(most)
-        g = g.join(top, "c", "left_semi")
-    got = g.select("g", "n").toPandas()
-    code = got["g"].to_numpy(np.int64).view(np.uint64)
-    return (code >> np.uint64(8)).astype(np.int64), (code & np.uint64(0xFF)).astype(np.int64), got["n"].to_numpy(np.float64)
+def adapt(b: np.ndarray, piece: np.ndarray, place: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, free, bad): log10 probabilities when the ADAPTIVE bytes before a byte have stood earlier in the same text.
 
-
-@dataclass
-class Trie:
-    symbol: np.ndarray  # byte -> column; the last column is for all bytes never seen
-    near: np.ndarray  # columns of three bytes -> row of the longest context of up to three
-    longer: np.ndarray  # (row, column of the byte before) -> row of the context longer by that byte, or the row itself
-    log10: np.ndarray  # (row, column) -> log10 probability
-
-    def positions(self, b: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte from the eighth on."""
-        s, a, n = self.symbol[b], self.log10.shape[1], len(b) - LONGEST
-        row = self.near[(s[LONGEST - 3 : -3] * a + s[LONGEST - 2 : -2]) * a + s[LONGEST - 1 : -1]]
-        at = np.arange(n)
-        for k in range(4, LONGEST + 1):  # those that have found a node of order k - 1 look for a longer one
-            there = row[at]
-            found = self.longer[there, s[at + LONGEST - k]]
-            moved = found != there
-            at = at[moved]
-            row[at] = found[moved]
-        return self.log10[row, s[LONGEST:]]
-
-    def scores(self, raw: list[bytes]) -> np.ndarray:
-        """log10 probability of each coded text."""
-        out, part, owner, held = np.zeros(len(raw)), [], [], 0
-
-        def flush() -> None:
-            b, sizes = np.frombuffer(b"".join(part), dtype=np.uint8), np.array([len(x) for x in part])
-            place = (np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[LONGEST:]
-            p, inside = self.positions(b).astype(np.float64), place >= LONGEST
-            p = adapt(b, np.repeat(np.arange(len(part)), sizes), place, p)
-            out[:] += np.bincount(np.repeat(owner, sizes)[LONGEST:][inside], weights=p[inside], minlength=len(raw))
-
-        for i, r in enumerate(raw):
-            r = bytes([END]) * LONGEST + r
-            for at in range(0, len(r) - LONGEST, PIECE):
-                part.append(r[at : at + PIECE + LONGEST])
-                owner.append(i)
-                held += len(part[-1])
-                if held >= PIECE:
-                    flush()
-                    part, owner, held = [], [], 0
-        if part:
-            flush()
-        return out
-
-
-def adapt(b: np.ndarray, piece: np.ndarray, place: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """log10 probabilities when the ADAPTIVE bytes before a byte have stood earlier in the same piece.
-
-    b: bytes; piece: the piece of each; place: of each byte from the eighth on, its place in the piece; p: log10
-    probability of those by the pretrained contexts. Where the context is known, the bytes that followed it before are
-    coded by method D, and any other escapes to the pretrained distribution without them.
+    b: bytes; piece: the text of each; place: of each byte from the ORDER-th on, its place in the text; p: log10
+    probability of those by the pretrained contexts, NaN where it isn't known yet. Where the context is known, the bytes
+    that followed it before are coded by method D, and any other escapes to the pretrained distribution without them.
+    free: q doesn't hold p; elsewhere an unknown p counts 0 and is to be added. bad: q needs unknown p of earlier bytes.
     """
-    at = np.flatnonzero(place >= ADAPTIVE + LONGEST)
+    unknown, free, bad = np.isnan(p), np.zeros(len(p), dtype=bool), np.zeros(len(p), dtype=bool)
+    p = np.where(unknown, 0.0, p)
+    at = np.flatnonzero(place >= ADAPTIVE + ORDER)
     if not len(at):
-        return p
+        return p, free, bad
     code = b.astype(np.uint64) + np.uint64(1)
     width, h = 1, code * MULTIPLIER
     h ^= h >> np.uint64(29)
@@ -216,7 +157,7 @@ def adapt(b: np.ndarray, piece: np.ndarray, place: np.ndarray, p: np.ndarray) ->
         h = (moved * MULTIPLIER + h + np.uint64(width)) * MULTIPLIER
         h ^= h >> np.uint64(31)
         width += step
-    h = h[LONGEST - 1 : -1][at] ^ (piece[LONGEST:][at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = h[ORDER - 1 : -1][at] ^ (piece[ORDER:][at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     bucket = (h >> np.uint64(64 - 22)).astype(np.int64)
     first_at, here = np.empty(1 << 22, dtype=np.int32), np.arange(len(h), dtype=np.int32)
     first_at[bucket[::-1]] = here[::-1]  # the first of each bucket is written last
@@ -229,10 +170,10 @@ def adapt(b: np.ndarray, piece: np.ndarray, place: np.ndarray, p: np.ndarray) ->
     twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(order) else same
     order = order[twice]
     if not len(order):
-        return p
+        return p, free, bad
     group = np.concatenate([[0], np.cumsum(h[order][1:] != h[order][:-1])])
     at = at[order]
-    y, low = b[LONGEST:][at].astype(np.int64), 10.0 ** p[at]
+    y, low = b[ORDER:][at].astype(np.int64), np.where(unknown[at], 0.0, 10.0 ** p[at])
     head = np.concatenate([[True], group[1:] != group[:-1]])
     first = np.flatnonzero(head)[np.cumsum(head) - 1]
     n = np.arange(len(group)) - first  # times that the context stood before
@@ -251,75 +192,10 @@ def adapt(b: np.ndarray, piece: np.ndarray, place: np.ndarray, p: np.ndarray) ->
     with np.errstate(divide="ignore", invalid="ignore"):
         escaped = np.log10(0.5 * d / n) + p[at] - np.log10(np.maximum(1 - gone, 1e-9))
         out = np.where(n == 0, p[at], np.where(c > 0, np.log10((c - 0.5) / n), escaped))
-    p = p.copy()
+    bad[at] = (n > 0) & (c == 0) & (before((fresh & unknown[at]).astype(np.float64)) > 0)
+    free[at] = c > 0
     p[at] = out
-    return p
-
-
-def blend(counts: np.ndarray, parents: np.ndarray) -> np.ndarray:
-    """Distributions of contexts with these counts (rows, columns) above the distributions of their next shorter contexts."""
-    n, seen = counts.sum(axis=1, keepdims=True), counts > 0
-    d = seen.sum(axis=1, keepdims=True)
-    rest = np.where(seen, 0, parents)
-    left = rest.sum(axis=1, keepdims=True)
-    full = left <= 1e-12
-    return np.where(seen, np.where(full, counts, counts - 0.5) / n, rest * (0.5 * d / n) / np.where(full, 1, left))
-
-
-def build_trie(grams: DataFrame, words: DataFrame, most: int = MAX_CONTEXTS) -> Trie:
-    """From the counts of windows (window, n) and words (word, n); what comes to the driver is bounded by `most` contexts an order."""
-
-    def shorter(order: int) -> DataFrame:
-        return grams.groupBy(F.col("window").bitwiseAND((1 << (8 * (order + 1))) - 1).alias("g")).agg(F.sum("n").alias("n"))
-
-    _, byte, n = context_counts(shorter(0), None)
-    seen = np.sort(byte)
-    a = len(seen) + 1
-    most = min(most, MODEL_BYTES // (8 * a * (LONGEST - 2)))
-    symbol = np.full(256, a - 1, dtype=np.int64)
-    symbol[seen] = np.arange(a - 1)
-    counts = np.zeros((1, a))
-    counts[0, symbol[byte]] = n
-    unseen = SYMBOLS - len(seen)
-    uniform = np.full((1, a), 1 / SYMBOLS)
-    uniform[0, -1] = unseen / SYMBOLS
-    tables, start, names_of = [blend(counts, uniform).astype(np.float32) if len(seen) else uniform.astype(np.float32)], [0], [np.zeros(1, dtype=np.int64)]
-    near, children = np.zeros(a**3, dtype=np.int32), []
-    for order in range(1, LONGEST + 1):
-        suffixes = names_of[-1]
-        if not len(suffixes):
-            break
-        source = shorter(order) if order <= ORDER else word_windows(words, order, suffixes.view(np.uint64))
-        ctx, byte, n = context_counts(source, most if order > 2 else None)
-        short = ctx & ((1 << (8 * (order - 1))) - 1)
-        up = np.minimum(np.searchsorted(suffixes, short), len(suffixes) - 1)
-        held = suffixes[up] == short  # the next shorter context is a node
-        ctx, byte, n = ctx[held], byte[held], n[held]
-        names, row = np.unique(ctx, return_inverse=True)
-        up = np.searchsorted(suffixes, names & ((1 << (8 * (order - 1))) - 1))
-        counts = np.zeros((len(names), a))
-        counts[row, symbol[byte]] = n
-        start.append(start[-1] + len(tables[-1]))
-        tables.append(blend(counts, tables[-1][up].astype(np.float64)).astype(np.float32))
-        names_of.append(names)
-        column = [symbol[(names >> (8 * (order - 1 - i))) & 0xFF] for i in range(order)]
-        rows = start[order] + np.arange(len(names), dtype=np.int32)
-        if order == 1:
-            near.reshape(a, a, a)[:, :, column[0]] = rows
-        elif order == 2:
-            near.reshape(a, a, a)[:, column[0], column[1]] = rows
-        elif order == 3:
-            near[(column[0] * a + column[1]) * a + column[2]] = rows
-        else:
-            children.append((start[order - 1] + up, column[0], rows))
-    table = np.concatenate(tables)
-    tables.clear()
-    table[:, -1] /= max(1, unseen)
-    longer = np.repeat(np.arange(len(table), dtype=np.int32)[:, None], a, axis=1)
-    for parent, column, rows in children:
-        longer[parent, column] = rows
-    np.maximum(table, np.float32(1e-30), out=table)
-    return Trie(symbol, near, longer, np.log10(table, out=table))
+    return p, free, bad
 
 
 @dataclass
@@ -363,52 +239,26 @@ def level(lower: list[Level], g: np.ndarray, n: np.ndarray) -> Level:
     return Level(g, np.where(full[at], n, n - 0.5) / total[at], contexts, np.where(full, 0, 0.5 * d / total / np.where(full, 1, left)))
 
 
-def word_grams(words: DataFrame) -> DataFrame:
-    """(o, g, n): the windows of o + 1 bytes inside of " word ", o from 5 to 7, and those of " word" and the end, which count 0."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for end in (b" ", bytes([END])):
-                raw = [b" " + w.encode("utf-8", "surrogatepass").replace(b"\0", b"\xC0") + end for w in b["word"]]
-                x, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64), np.array([len(r) for r in raw])
-                left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(x))  # bytes of the word from here on
-                n = np.repeat(b["n"].to_numpy(np.int64) if end == b" " else np.zeros(len(b), dtype=np.int64), sizes)
-                for o in range(ORDER + 1, LONGEST + 1):
-                    at = np.flatnonzero(left > o if end == b" " else left == o + 1)
-                    code = np.zeros(len(at), dtype=np.uint64)
-                    for i in range(o + 1):
-                        code = (code << np.uint64(8)) | x[at + i]
-                    g, inverse = np.unique(code, return_inverse=True)
-                    yield pd.DataFrame({"o": o, "g": g.view(np.int64), "n": np.bincount(inverse, weights=n[at], minlength=len(g)).astype(np.int64)})
-
-    return words.where("word <> ''").mapInPandas(run, "o int, g long, n long").groupBy("o", "g").agg(F.sum("n").alias("n"))
-
-
-def window_scores(grams: DataFrame, words: DataFrame) -> DataFrame:
-    """(key, n, p): log10 probability of every window of five bytes (window, n), and of those within words (word, n) of six to eight; n may be 0."""
+def window_scores(grams: DataFrame) -> DataFrame:
+    """(key, n, p): log10 probability of every window (window, n); n may be 0."""
     lower: list[Level] = []
     few = grams.where("n > 0").groupBy(F.col("window").bitwiseAND((1 << 24) - 1).alias("g")).agg(F.sum("n").alias("n")).toPandas()  # at most 2^24
     g, n = few["g"].to_numpy(np.int64).astype(np.uint64), few["n"].to_numpy(np.float64)
     for o in range(3):
         lower.append(level(lower, g & np.uint64((1 << (8 * (o + 1))) - 1), n))
     sent = grams.sparkSession.sparkContext.broadcast(lower)
-    rows = stored(grams.select(F.lit(ORDER).alias("o"), F.col("window").alias("g"), "n").unionByName(word_grams(words)))
-    shards = max(8, rows.count() // SHARD)
+    shards = max(8, grams.count() // SHARD)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        levels, out = list(sent.value), []
-        parts = {o: (x["g"].to_numpy(np.int64).view(np.uint64), x["n"].to_numpy(np.int64)) for o, x in pdf.groupby("o")}
-        for o in range(3, LONGEST + 1):
-            g, n = parts.get(max(o, ORDER), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
-            short, seen = g & np.uint64((1 << (8 * (o + 1))) - 1), n > 0
-            levels.append(level(levels, short[seen], n[seen]))
-            if o >= ORDER:
-                p = np.log10(np.maximum(probability(levels, g), 1e-30))
-                out.append(pd.DataFrame({"key": g.view(np.int64), "n": n, "p": p.astype(np.float32)}))
-        return pd.concat(out)
+        levels, g, n = list(sent.value), pdf["window"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64)
+        seen = n > 0
+        for o in range(3, ORDER + 1):
+            levels.append(level(levels, g[seen] & np.uint64((1 << (8 * (o + 1))) - 1), n[seen]))
+        p = np.log10(np.maximum(probability(levels, g), 1e-30))
+        return pd.DataFrame({"key": pdf["window"], "n": n, "p": p.astype(np.float32)})
 
-    shard = F.pmod(F.xxhash64(F.shiftrightunsigned("g", 8).bitwiseAND((1 << 24) - 1)), F.lit(shards))
-    return stored(rows.groupBy(shard.alias("shard")).applyInPandas(run, "key long, n long, p float"))
+    shard = F.pmod(F.xxhash64(F.shiftrightunsigned("window", 8).bitwiseAND((1 << 24) - 1)), F.lit(shards))
+    return stored(grams.groupBy(shard.alias("shard")).applyInPandas(run, "key long, n long, p float"))
 
 
 class Known:
@@ -434,65 +284,49 @@ class Known:
         return out
 
 
-def window_keys(b: np.ndarray) -> np.ndarray:
-    """The window of each byte from the eighth on; texts stand behind LONGEST ends."""
-    here = np.arange(len(b))
-    word = np.maximum.accumulate(np.where(b == 0x20, here, np.where(b == END, here + 1, 0)))
-    inside = here[LONGEST:] - word[LONGEST - 1 : -1]  # bytes before this one in its word, with the space before it
-    order = np.where(inside > ORDER, np.minimum(inside, LONGEST), ORDER)
-    code = np.zeros(len(b) - LONGEST, dtype=np.uint64)
-    for i in range(LONGEST + 1):
-        code = (code << np.uint64(8)) | b[i : len(b) - LONGEST + i]
-    return code & np.array([(1 << (8 * (o + 1))) - 1 for o in range(LONGEST + 1)], dtype=np.uint64)[order]
-
-
-def whole_scores(raw: list[bytes], known: Known, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(scores, far) of coded texts: log10 probability, NaN where the text has windows that neither `known` nor `more` (sorted keys, p) hold; and those."""
-    out, far, part, owner, held = np.zeros(len(raw)), [np.zeros(0, dtype=np.int64)] * len(raw), [], [], 0
+def whole_scores(raw: list[bytes], known: Known, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(scores, far, times) of coded texts: log10 probability, and the windows beyond `known` and `more` (sorted keys, p) whose
+    log10 probabilities, so many times each, are still to be added. Where that doesn't do (see adapt), the score is NaN."""
+    none = np.zeros(0, dtype=np.int64)
+    out, far, times, part, owner, held = np.zeros(len(raw)), [none] * len(raw), [none] * len(raw), [], [], 0
 
     def flush() -> None:
-        b, sizes = np.frombuffer(b"".join(part), dtype=np.uint8), np.array([len(x) for x in part])
-        text = np.repeat(np.arange(len(part)), sizes)
-        place = np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.flatnonzero(place >= LONGEST)
-        key, p = window_keys(b)[at - LONGEST], np.zeros(len(b))
+        b, text, place = window_keys(part)
+        at = np.flatnonzero(place >= ORDER)
+        key, p = codes_at(b)[at - ORDER], np.zeros(len(b))
         p[at] = known.find(key)
         lost = np.flatnonzero(np.isnan(p[at]))
         if more is not None and len(lost):
             k, there = lookup(more[0], key[lost])
             p[at[lost[there]]] = more[1][k[there]]
-            lost = lost[~there]
-        for i in np.unique(text[at[lost]]):
-            far[owner[i]] = np.unique(key[lost[text[at[lost]] == i]]).view(np.int64)
-            out[owner[i]] = np.nan
-        bad = np.zeros(len(part), dtype=bool)
-        bad[text[at[lost]]] = True
-        ok = ~bad[text]
-        if ok.any():
-            b, text, place, p = b[ok], text[ok], place[ok], p[ok]
-            q = adapt(b, text, place[LONGEST:], p[LONGEST:])
-            inside = place[LONGEST:] >= LONGEST
-            sums = np.bincount(text[LONGEST:][inside], weights=q[inside], minlength=len(part))
-            out[np.array(owner)[~bad]] = sums[~bad]
+        q, free, bad = adapt(b, text, place[ORDER:], p[ORDER:])
+        twisted = np.zeros(len(part), dtype=bool)
+        twisted[text[ORDER:][bad]] = True
+        open_ = np.flatnonzero(np.isnan(p[at]) & (twisted[text[at]] | ~free[at - ORDER]))
+        for i in np.unique(text[at[open_]]):
+            keys, count = np.unique(key[open_[text[at[open_]] == i]], return_counts=True)
+            far[owner[i]], times[owner[i]] = keys.view(np.int64), count
+        sums = np.bincount(text[at], weights=q[at - ORDER], minlength=len(part))
+        out[np.array(owner)] = np.where(twisted, np.nan, sums)
 
     for i, r in enumerate(raw):
-        part.append(bytes([END]) * LONGEST + r)
+        part.append(r)
         owner.append(i)
-        held += len(part[-1])
+        held += len(r)
         if held >= PIECE:
             flush()
             part, owner, held = [], [], 0
     if part:
         flush()
-    return out, far
+    return out, far, times
 
 
-def scored(b: pd.DataFrame, model: Trie | Known, logs: dict[bytes, float]) -> pd.DataFrame:
-    """The rows of b with their scores, the base over the words in logs, and the other words with their counts."""
+def scored(b: pd.DataFrame, model: Known, logs: dict[bytes, float]) -> pd.DataFrame:
+    """The rows of b with their scores, the base over the words in logs, and the other words and windows with their counts."""
     found = [tokens_of(t) for t in b["text"]]
-    raw = [coded(x) for x in found]
-    score, far = whole_scores(raw, model) if isinstance(model, Known) else (model.scores(raw), [[]] * len(raw))
-    out = {"id": b["id"].tolist(), "held_out": b["held_out"].tolist(), "n_tokens": [len(x) + 1 for x in found], "n_known": [], "base": [], "score": score, "rare": [], "times": [], "far": far, "text": [t if len(k) else None for t, k in zip(b["text"], far)]}
+    score, far, often = whole_scores([coded(x) for x in found], model)
+    out = {"id": b["id"].tolist(), "held_out": ~b["learn"], "n_tokens": [len(x) + 1 for x in found], "n_known": [], "base": [], "score": score, "rare": [], "times": [], "far": far, "often": often}
+    out["text"] = [t if bad else None for t, bad in zip(b["text"], np.isnan(score))]
     for x in found:
         each = Counter(x)
         each[b""] = 1
@@ -518,8 +352,8 @@ def frequent_windows(probs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b"".join(r["keys"] for r in near), dtype=np.int64), np.frombuffer(b"".join(r["ps"] for r in near), dtype=np.float32)
 
 
-def far_scores(texts: DataFrame, probs: DataFrame, sent) -> DataFrame:
-    """(row, score) of texts (row, text, far) that have windows beyond those sent, which are joined to them by key."""
+def twisted_scores(texts: DataFrame, probs: DataFrame, sent) -> DataFrame:
+    """(row, again): scores of texts (row, text, far), with the windows beyond those sent beside each."""
     pairs = texts.select("row", F.explode("far").alias("key")).join(probs.select("key", "p"), "key")
     found = pairs.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list("p").alias("ps"))
 
@@ -530,33 +364,25 @@ def far_scores(texts: DataFrame, probs: DataFrame, sent) -> DataFrame:
                 b = whole.iloc[at : at + STEP]
                 key, first = np.unique(np.concatenate(b["keys"].tolist()).astype(np.int64).view(np.uint64), return_index=True)
                 p = np.concatenate(b["ps"].tolist())[first]
-                score, far = whole_scores([coded(tokens_of(t)) for t in b["text"]], model, (key, p))
+                score, far, _ = whole_scores([coded(tokens_of(t)) for t in b["text"]], model, (key, p))
                 if any(len(k) for k in far):
                     raise ValueError("a window without a probability")
-                yield pd.DataFrame({"row": b["row"], "score": score})
+                yield pd.DataFrame({"row": b["row"], "again": score})
 
-    return texts.select("row", "text").join(found, "row").mapInPandas(run, "row long, score double")
+    return texts.select("row", "text").join(found, "row").mapInPandas(run, "row long, again double")
 
 
-def score_texts(docs: DataFrame, most: int | None = None, frequent: int = FREQUENT, id_col: str = "doc_id", sent_windows: int = SENT) -> DataFrame:
+def score_texts(docs: DataFrame, frequent: int = FREQUENT, id_col: str = "doc_id", sent_windows: int = SENT) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, learnt from the rows that aren't held out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), "text", (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"))
-    counts = gather_counts(rows.where("not held_out"))
-    if most is None:  # windows of held-out texts need probabilities, too
-        counts = counts.unionByName(gather_counts(rows.where("held_out")).withColumn("n", F.lit(0).cast("long"))).groupBy("word", "window").agg(F.sum("n").alias("n"))
-    counts = stored(counts)
-    every, grams = counts.where("word is not null").select("word", "n"), counts.where("window is not null").select("window", "n")
-    words = every.where("n > 0")
+    rows = docs.select(F.col(id_col).alias("id"), "text", (fold(F.col(id_col), FOLDS) != HELD_OUT).alias("learn"))
+    counts = stored(gather_counts(rows))
+    words, grams = counts.where("word is not null").select("word", "n"), counts.where("window is not null").select("window", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     below = np.log10(total["n"] + ADD * (total["v"] + 1))
     top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    if most is None:
-        probs = window_scores(grams, every)
-        model = Known(*frequent_windows(probs, sent_windows))
-    else:
-        model = build_trie(grams, words, most)
-    sent = spark.sparkContext.broadcast((model, dict(zip(top["word"], top["n"]))))
+    probs = window_scores(grams)
+    sent = spark.sparkContext.broadcast((Known(*frequent_windows(probs, sent_windows)), dict(zip(top["word"], top["n"]))))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -566,7 +392,7 @@ def score_texts(docs: DataFrame, most: int | None = None, frequent: int = FREQUE
             for at in range(0, len(whole), STEP):  # the tokens of few texts at a time
                 yield scored(whole.iloc[at : at + STEP], model, logs)
 
-    first = rows.mapInPandas(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>, far array<long>, text string")
+    first = rows.mapInPandas(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>, far array<long>, often array<int>, text string")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()))
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
@@ -575,10 +401,12 @@ def score_texts(docs: DataFrame, most: int | None = None, frequent: int = FREQUE
         .groupBy("row")
         .agg(F.sum(F.col("times") * (F.log10(n + ADD) - F.lit(float(below)))).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("found"))
     )
-    out = first.drop("rare", "times", "far", "text").join(more, "row", "left")
-    if most is None:
-        out = out.join(far_scores(first.where("size(far) > 0"), probs, sent).withColumnRenamed("score", "again"), "row", "left").withColumn("score", F.coalesce("again", "score"))
+    far = first.where("text is null").select("row", F.explode(F.arrays_zip("far", "often")).alias("k")).select("row", F.col("k.far").alias("key"), F.col("k.often").alias("often"))
+    added = far.join(probs.select("key", "p"), "key").groupBy("row").agg(F.sum(F.col("often") * F.col("p").cast("double")).alias("added"))
+    again = twisted_scores(first.where("text is not null"), probs, sent)
+    out = first.drop("rare", "times", "far", "often", "text").join(more, "row", "left").join(added, "row", "left").join(again, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        F.coalesce("again", F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"),
     )
