@@ -6,9 +6,14 @@ copies are never paired with each other.
 
 Each node's MinHash signature is cut into bands. Rows and bands are the pair that misses at most `miss` of the pairs
 at the threshold with the fewest hashes times bands (6 rows and 36 bands for 0.8 and 2e-5). Nodes are shuffled by band
-hash, each bucket links its nodes to its smallest one, and the components of those links are the candidate groups.
-Within a group every pair of nodes is verified on the full sets, in blocks of bounded size (see graph.py); no pair is
-written out.
+hash. Within a bucket, signatures (a byte of each hash) are compared, and two nodes are linked where they agree on no fewer
+hashes than a pair at the threshold does but for `miss`; buckets with the same nodes are compared once. A bucket of more than
+`bucket` nodes is refined: its nodes are dealt by each of the other bands again, so a pair in it still meets with the same
+probability, and pages on one template, similar but not enough, part. Where a bucket's nodes are mostly similar to its first one,
+or after DEPTH bands, they are linked without comparison.
+
+The components of those links are the candidate groups. Within a group every pair of nodes is verified on the full sets,
+in blocks of bounded size (see graph.py); no pair is written out.
 
 Defined results: a text that is null or has no words links with nothing and is its own class; rows with equal ids and
 texts count as copies; an id may stand for several texts, which are told apart; equal word sequences are always
@@ -21,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -30,11 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from vexel.llm.common import cut, free_name, word_list
-from vexel.llm.graph import BLOCK, connected_components, gather, links_within
+from vexel.llm.graph import BLOCK, Forest, connected_components, gather, links_within
+from vexel.shared import join_small
 
 SHINGLE = 5
 THRESHOLD = 0.8
 MISS = 2e-5
+#: Nodes of a bucket that are compared with each other, bands that refine a larger one at most, and rows compared at once.
+BUCKET, DEPTH, ROWS = 192, 4, 20_000
 #: Word hashes that a task remembers.
 REMEMBERED = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -92,12 +100,23 @@ def band_hashes(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def least_agreeing(n: int, threshold: float, miss: float) -> int:
+    """Of n hashes, cut to a byte, the fewest that a pair at the threshold agrees on but with probability `miss`."""
+    p, k, below = threshold + (1 - threshold) / 256, 0, (1 - threshold - (1 - threshold) / 256) ** n
+    term = below
+    while below <= miss:
+        term *= (n - k) / (k + 1) * p / (1 - p)
+        k += 1
+        below += term
+    return k
+
+
 def node_of(words: list[str]) -> bytes | None:
     return hashlib.md5(" ".join(words).encode()).digest() if words else None
 
 
 def signatures(docs: DataFrame, id_col: str, k: int, rows: int, bands: int) -> DataFrame:
-    """(id, digest, node, bands) for each row; digest: of the text as it is."""
+    """(id, digest, node, bands, sketch) for each row; digest: of the text as it is, sketch: a byte of each hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -107,11 +126,95 @@ def signatures(docs: DataFrame, id_col: str, k: int, rows: int, bands: int) -> D
                 words = word_list(t)
                 nodes.append(node_of(words))
                 sigs.append(signature(shingler(words), rows * bands) if words else np.zeros(rows * bands, dtype=np.uint32))
-            hashes = band_hashes(np.array(sigs, dtype=np.uint32).reshape(len(b), rows * bands), rows, bands)
-            yield pd.DataFrame({"id": b[id_col], "digest": b["digest"], "node": nodes, "bands": list(hashes)})
+            sigs = np.array(sigs, dtype=np.uint32).reshape(len(b), rows * bands)
+            sketches = (((sigs * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8))
+            yield pd.DataFrame({"id": b[id_col], "digest": b["digest"], "node": nodes, "bands": list(band_hashes(sigs, rows, bands)), "sketch": [x.tobytes() for x in sketches]})
 
     narrow = docs.select(id_col, "text", F.xxhash64("text").alias("digest"))
-    return narrow.mapInPandas(run, f"id {narrow.schema[id_col].dataType.simpleString()}, digest long, node binary, bands array<bigint>")
+    return narrow.mapInPandas(run, f"id {narrow.schema[id_col].dataType.simpleString()}, digest long, node binary, bands array<bigint>, sketch binary")
+
+
+def agreeing(a, b) -> np.ndarray:
+    """On how many bytes the sketches of two lists agree."""
+    return (np.frombuffer(b"".join(a), dtype=np.uint8) == np.frombuffer(b"".join(b), dtype=np.uint8)).reshape(len(a), -1).sum(axis=1)
+
+
+def linked(keys: np.ndarray, nodes: list[bytes], sketches: np.ndarray, least: int) -> pd.DataFrame:
+    """(u, v, compared): a forest over nodes with equal keys (sorted) that agree on `least` hashes; a last row counts the pairs looked at."""
+    forest, root, compared = Forest(len(keys)), np.arange(len(keys)), 0
+    for d in range(1, len(keys)):
+        i = np.flatnonzero(keys[d:] == keys[:-d])
+        if not len(i):
+            break
+        i = i[root[i] != root[i + d]]
+        compared += len(i)
+        for at in range(0, len(i), ROWS):
+            part = i[at : at + ROWS]
+            for x in part[(sketches[part] == sketches[part + d]).sum(axis=1) >= least].tolist():
+                forest.join(x, x + d)
+        root = np.asarray(forest.up)
+        while (root[root] != root).any():
+            root = root[root]
+    ends = np.flatnonzero(root != np.arange(len(root)))
+    return pd.DataFrame({"u": [*[nodes[i] for i in ends], None], "v": [*[nodes[i] for i in root[ends]], None], "compared": [*[0] * len(ends), compared]})
+
+
+def bucket_links(keyed: DataFrame, least: int) -> DataFrame:
+    """linked() within the buckets (key, node, sketch)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+
+        def whole(b: pd.DataFrame) -> pd.DataFrame:
+            return linked(b["key"].to_numpy(), b["node"].tolist(), np.frombuffer(b"".join(b["sketch"]), dtype=np.uint8).reshape(len(b), -1), least)
+
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            keys = b["key"].to_numpy()
+            ended = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
+            rest = b.iloc[ended:]
+            if ended:
+                yield whole(b.iloc[:ended])
+        if rest is not None and len(rest):
+            yield whole(rest)
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "u binary, v binary, compared long")
+
+
+def alike_buckets(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(key) of the buckets (key, node, first) of which half agree with their first node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"key": b["key"], "near": (agreeing(b["sketch"], b["other"]) >= least).astype(float)})
+
+    firsts = rows.select("key", "first").distinct().join(sketches.withColumnsRenamed({"node": "first", "sketch": "other"}), "first").select("key", "other")
+    beside = join_small(rows.join(sketches, "node"), firsts, ["key"], most=20_000)
+    return beside.select("key", "sketch", "other").mapInPandas(run, "key long, near double").groupBy("key").agg(F.avg("near").alias("near")).where("near >= 0.5").select("key")
+
+
+def candidate_links(nodes: DataFrame, least: int, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+    """(u, v, compared) of nodes (node, bands, sketch)."""
+    sketches, out = nodes.select("node", "sketch"), []
+    keyed = nodes.select("node", F.explode("bands").alias("key")).withColumn("used", F.array("key"))
+    for level in range(depth):
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("held"))
+        sizes = cut(sizes.where("n > 1"))
+        small = sizes.where(F.col("n") <= bucket).groupBy("n", "held", "first").agg(F.min("key").alias("key")).select("key")  # the same nodes: once
+        out.append(cut(bucket_links(keyed.select("node", "key").join(small, "key").join(sketches, "node"), least)))
+        large = sizes.where(F.col("n") > bucket).select("key", "first")
+        if large.isEmpty():
+            break
+        rows = cut(join_small(keyed, large, ["key"]))
+        alike = large.select("key") if level + 1 == depth else cut(alike_buckets(rows, sketches, least))
+        chained = join_small(rows, alike, ["key"], "left_semi").where("node <> first")
+        out.append(chained.select(F.col("node").alias("u"), F.col("first").alias("v"), F.lit(0).cast("long").alias("compared")))
+        spread = join_small(rows, alike, ["key"], "left_anti").select("node", "used")
+        more = spread.join(nodes.select("node", F.explode("bands").alias("band")), "node").where(~F.array_contains("used", F.col("band")))
+        more = more.select("node", F.array_sort(F.array_append("used", F.col("band"))).alias("used"))  # the same whichever band came first
+        keyed = cut(more.select("node", F.xxhash64("used").alias("key"), "used").distinct())
+    return reduce(DataFrame.unionByName, out)
 
 
 def similar(k: int, threshold: float):
@@ -149,18 +252,16 @@ def classes(docs: DataFrame, k: int, threshold: float, miss: float, id_col: str,
     rows, bands = bands_for(threshold, miss)
     signed = cut(signatures(docs, id_col, k, rows, bands))
     nodes = cut(signed.where("node is not null").groupBy("node").agg(
-        F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    groups = connected_components(keyed.join(cut(shared), "key").select(F.col("node").alias("u"), F.col("first").alias("v")))
-    members = groups.join(nodes.drop("bands"), "node")
+        F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    groups = connected_components(candidate_links(nodes, least_agreeing(rows * bands, threshold, miss)).where("u is not null").select("u", "v"))
+    members = groups.join(nodes.drop("bands", "sketch"), "node")
     texts = docs.select(F.col(id_col).alias("first_id"), "text", F.xxhash64("text").alias("digest"))
     same = members["first_id"].eqNullSafe(texts["first_id"]) & (members["digest"] == texts["digest"])  # an id may stand for several texts
     texts = members.join(texts, same).select(members["node"], "component", "copies", "text")
     found = gather(links_within(texts, similar(k, threshold), block), nodes)
-    all_nodes = cut(nodes.drop("bands").join(found, "node", "left").select(
+    all_nodes = cut(nodes.drop("bands", "sketch").join(found, "node", "left").select(
         "node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = signed.drop("bands").join(all_nodes, "node", "left")
+    out = signed.drop("bands", "sketch").join(all_nodes, "node", "left")
     return out.select("id", "digest", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
