@@ -66,6 +66,36 @@ def test_links_and_classes_equal_brute_force(spark, seed, block):
     assert all(r.kept == (r.doc_id == r.class_id) for r in out)
 
 
+def pages_on_a_template(n, seed=3):
+    """Texts whose sets are half shared: Jaccard 0.5."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(84)]
+    return [(i, " ".join(template + [f"x{r.randrange(10**9)}" for _ in range(40)])) for i in range(n)]
+
+
+def test_a_template_costs_no_quadratic_work(spark):
+    rows = pages_on_a_template(4000)
+    near = rows[7][1].rsplit(" ", 3)[0]
+    rows += [(4000, near + " y y y"), (4001, near + " z")]
+    pairs = {jj.bands_for(): None}
+    k, bands = next(iter(pairs))
+    signed = jj.signatures(docs(spark, rows), "doc_id", 5, k, bands).cache()
+    links = jj.candidate_links(signed, jj.least_agreeing(k * bands, 0.8, jj.MISS), bucket=64).cache()
+    assert links.agg({"compared": "sum"}).first()[0] < 4000**2 / 2 / 10
+    node = {r.id: bytes(r.node) for r in signed.select("id", "node").collect()}
+    groups = {bytes(r.node): bytes(r.component) for r in graph.connected_components(links.where("u is not null").select("u", "v")).collect()}
+    assert len({groups[node[i]] for i in (7, 4000, 4001)}) == 1 and len(groups) < 40
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.near_duplicates(docs(spark, rows)).collect() if r.n_links}
+    assert got == {7: (7, 2), 4000: (7, 2), 4001: (7, 2)}
+
+
+def test_refined_buckets_lose_no_links(spark, monkeypatch):
+    for bucket, depth in ((2, 2), (3, 4)):
+        monkeypatch.setattr(jj.candidate_links, "__defaults__", (bucket, depth))
+        rows = made(4, groups=5, most=20)
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in jj.near_duplicates(docs(spark, rows)).collect()) == brute(rows)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"word{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "!!! ..."), (4, "one two"), (5, "ONE, two"), (6, "one two three"), (7, long), (8, long + " more"), (9, "a b c d e f"), (9, "a b c d e f"), (None, "one two"), (None, None)]

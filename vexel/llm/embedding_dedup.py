@@ -10,6 +10,9 @@ apart, which is more where the vectors of a label share directions. Two vectors
 probability (1 - angle/pi)^b, and the passes together miss such a pair with probability `miss` at most, on the average
 of the label's vectors. Where even the window's ends are linked, neighbours hold the group together, so those don't count.
 
+A sorted pass is dealt over range partitions; the last vectors of each are compared with the first of the next one. Vectors
+travel in the precision that they came in, and are compared in double precision.
+
 Defined results: rows whose label or vector is null, whose vector is zero or empty or holds null or non-finite
 components, link with nothing; vectors of different lengths don't link; rows with equal ids and vectors count as
 copies; an empty table gives an empty result; other columns are ignored.
@@ -18,15 +21,17 @@ copies; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 
-from vexel.llm.common import cut
+from vexel.llm.common import cut, stored
 from vexel.llm.graph import BLOCK, Forest, connected_components, gather, links_within
 
 THRESHOLD = 0.98
@@ -34,8 +39,6 @@ WINDOW = 48
 BITS = 62
 MISS = 1e-4
 TRIALS = 4
-#: Part of the windows that a range border doesn't cut.
-UNCUT = 0.98
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
@@ -45,7 +48,7 @@ def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, miss:
 
 def passes_of(bits: np.ndarray, rows: np.ndarray, threshold: float, miss: float) -> int:
     """Passes that miss a pair at the threshold with probability `miss`, where so many rows need so many leading bits."""
-    lost, weight = 1 - UNCUT * (1 - math.acos(threshold) / math.pi) ** bits, rows / rows.sum()
+    lost, weight = 1 - (1 - math.acos(threshold) / math.pi) ** bits, rows / rows.sum()
     hi = 1
     while weight @ lost**hi > miss:
         hi *= 2
@@ -84,7 +87,8 @@ def bits_needed(ordered: DataFrame, threshold: float, window: int) -> DataFrame:
 
 def label_passes(nodes: DataFrame, threshold: float, window: int, miss: float) -> DataFrame:
     """(label, passes) of the labels whose codes need more passes than `passes_for` the number of all vectors."""
-    found = bits_needed(in_order(codes(nodes.withColumn("passes", F.lit(TRIALS)))), threshold, window).groupBy("label", "bits").count()
+    trial = stored(codes(nodes.withColumn("passes", F.lit(TRIALS))))
+    found = bits_needed(in_order(trial), threshold, window).groupBy("label", "bits").count()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"label": pdf["label"].iloc[:1], "passes": [passes_of(pdf["bits"].to_numpy(np.float64), pdf["count"].to_numpy(np.float64), threshold, miss)]})
@@ -118,31 +122,51 @@ def codes(nodes: DataFrame) -> DataFrame:
                     x = np.array(part["vector"].tolist(), dtype=np.float64)
                     yield pd.DataFrame({"number": p, "label": part["label"], "dim": dim, "code": (x @ planes(dim, p) > 0) @ weight, "node": part["node"], "vector": part["vector"]})
 
-    return nodes.select("node", "label", "vector", "passes").mapInPandas(run, f"number int, label {nodes.schema['label'].dataType.simpleString()}, dim int, code long, node binary, vector array<double>")
+    kinds = {c: nodes.schema[c].dataType.simpleString() for c in ("label", "vector")}
+    return nodes.select("node", "label", "vector", "passes").mapInPandas(run, f"number int, label {kinds['label']}, dim int, code long, node binary, vector {kinds['vector']}")
+
 
+def windows_within(b: pd.DataFrame, threshold: float, window: int) -> pd.DataFrame:
+    """(u, v): a forest over the links of sorted rows (number, label, dim, node, vector) within a window."""
+    place = b[["number", "label", "dim"]].to_numpy()
+    turn = np.concatenate([[0], np.cumsum((place[1:] != place[:-1]).any(axis=1))])
+    forest, nodes = Forest(len(b)), b["node"].tolist()
+    for run_of in np.unique(turn):
+        at = np.flatnonzero(turn == run_of)
+        x = directions(b["vector"].iloc[at])
+        for d in range(1, min(window + 1, len(at))):
+            for i in np.flatnonzero(np.einsum("ij,ij->i", x[d:], x[:-d]) >= threshold):
+                forest.join(int(at[i]), int(at[i + d]))
+    ends = [(nodes[i], nodes[r]) for i in range(len(b)) if (r := forest.root(i)) != i]
+    return pd.DataFrame(ends, columns=["u", "v"])
 
-def window_links(coded: DataFrame, threshold: float, window: int) -> DataFrame:
-    """(u, v): a forest over the links that the windows of each sorted partition hold."""
+
+def window_links(ordered: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(u, v): a forest over the links that the windows of sorted codes hold, in each range partition and over its end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
+        head, tail = None, None
         for b in batches:
-            b = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            b = b.reset_index(drop=True)
+            if not len(b):
+                continue
+            b = b.reset_index(drop=True) if tail is None else pd.concat([tail, b], ignore_index=True)
+            yield windows_within(b, threshold, window).assign(part=None, head=None, tail=None)
+            head = b.head(window) if head is None else head
             tail = b.tail(window)
-            place = b[["number", "label", "dim"]].to_numpy()
-            turn = np.concatenate([[0], np.cumsum((place[1:] != place[:-1]).any(axis=1))])
-            forest, nodes = Forest(len(b)), b["node"].tolist()
-            for run_of in np.unique(turn):
-                at = np.flatnonzero(turn == run_of)
-                x = directions(b["vector"].iloc[at])
-                for d in range(1, min(window + 1, len(at))):
-                    for i in np.flatnonzero(np.einsum("ij,ij->i", x[d:], x[:-d]) >= threshold):
-                        forest.join(int(at[i]), int(at[i + d]))
-            ends = [(nodes[i], nodes[r]) for i in range(len(b)) if (r := forest.root(i)) != i]
-            yield pd.DataFrame(ends, columns=["u", "v"])
+        if tail is not None:
+            yield pd.DataFrame({"u": [None], "v": [None], "part": [TaskContext.get().partitionId()], "head": [pickle.dumps(head)], "tail": [pickle.dumps(tail)]})
+
+    found = cut(ordered.mapInPandas(run, "u binary, v binary, part int, head binary, tail binary"))
+    in_turn = Window.orderBy("part")  # one row a partition
+    borders = found.where("part is not null").select("tail", F.lead("head").over(in_turn).alias("head")).where("head is not null")
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for tail, head in zip(b["tail"], b["head"]):
+                yield windows_within(pd.concat([pickle.loads(tail), pickle.loads(head)], ignore_index=True), threshold, window)
 
-    return coded.mapInPandas(run, "u binary, v binary")
+    across = borders.repartition("head").mapInPandas(over, "u binary, v binary")
+    return found.where("part is null").select("u", "v").unionByName(across)
 
 
 def cosine(threshold: float):
@@ -155,16 +179,17 @@ def cosine(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS, id_col: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors (id, embedding, label)."""
-    v = vectors.select(F.col(id_col).alias("id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).alias("id"), "label", F.col("embedding").cast(kind).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
-    text = F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string")))
+    text = F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")))
     v = cut(v.withColumn("node", F.when(F.coalesce(valid, F.lit(False)), F.unhex(F.md5(text)))))
     nodes = cut(v.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
     least = passes_for(nodes.count(), threshold, window, miss)
     need = cut(label_passes(nodes, threshold, window, miss))
     dealt = nodes.join(F.broadcast(need), "label", "left").withColumn("passes", F.greatest(F.coalesce("passes", F.lit(0)), F.lit(least)))
-    groups = connected_components(window_links(in_order(codes(dealt)), threshold, window))
+    groups = connected_components(window_links(in_order(stored(codes(dealt))), threshold, window))
     members = groups.join(nodes.select("node", "copies", "vector"), "node")
     found = gather(links_within(members, cosine(threshold), block), nodes)
     per = cut(nodes.join(found, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")))

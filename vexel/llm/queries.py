@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from vexel.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, licenses, lm_score, mixing, toxicity, url_filter
@@ -122,9 +123,10 @@ SELECT d.doc_id, coalesce(o.class_id, d.doc_id) AS class_id, coalesce(o.n_links,
 FROM d LEFT JOIN o ON d.w = o.w
 """
 
-#: Exact: all pairs of a label.
-OP7_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+def links_sql(vectors: str) -> str:
+    """Exact: all pairs of a label."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM {vectors}),
 ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
       WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
@@ -135,6 +137,19 @@ SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, component_id, comp
 """
 
 
+OP7_SQL = links_sql("embeddings")
+#: Each vector, and three more that are turned towards a neighbour component by component: some stay linked with it, some don't.
+PLANTED_SQL = links_sql("""(SELECT vec_id * 4 + t AS vec_id, label, list_transform(range(1, len(embedding) + 1),
+  lambda i: CAST(embedding[i] AS DOUBLE) + t * 0.07 * CAST(embedding[i % len(embedding) + 1] AS DOUBLE)) AS embedding FROM embeddings, (SELECT unnest(range(4)) AS t))""")
+
+
+def planted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links among the vectors and copies turned by more and more."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("t"), F.col("embedding").cast("array<double>").alias("e"))
+    turned = F.transform("e", lambda x, i: x + F.col("t") * 0.07 * F.element_at("e", ((i + 1) % F.size("e") + 1).cast("int")))
+    return embedding_dedup.near_vectors(e.select((F.col("vec_id") * 4 + F.col("t")).alias("vec_id"), "label", turned.alias("embedding")))
+
+
 def op6_sql() -> str:
     """The canonical form in DuckDB, for the corpus and for the known texts alike."""
 
@@ -162,8 +177,8 @@ SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM g LEFT JOI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op4_lm_score, op5_url_filter, op6_license_scan, op7_embedding_dedup, op8_toxicity, op9_mixing, op10_html_extract)}
+    return {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_decontaminate, op4_lm_score, op5_url_filter, op6_license_scan, op7_embedding_dedup, op8_toxicity, op9_mixing, op10_html_extract, planted_links)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": op5_sql(), "op6_license_scan": op6_sql(), "op9_mixing": OP9_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op7_embedding_dedup": OP7_SQL, "planted_links": PLANTED_SQL, "op3_decontaminate": OP3_SQL, "op5_url_filter": op5_sql(), "op6_license_scan": op6_sql(), "op9_mixing": OP9_SQL}
