@@ -2,9 +2,9 @@
 
 Voters are lexicon entries (whole words) and patterns (word beginnings of 3 to 6 letters): the ones that, in a bounded
 sample of labelled rows, mark toxic texts and hardly any other, chosen greedily until each toxic text of the sample
-has several voters, plus one that votes `clean` where no other votes. A generative label model gives each voter an accuracy,
-by expectation-maximisation over the sample's votes, and discounts voters that vote together (their correlations), and
-so turns votes into a posterior. A linear classifier over the presence of words and word beginnings is trained on
+has several voters. A generative label model estimates, by expectation-maximisation over the sample's votes, each
+voter's accuracy and its correlation given the label with the voter that it goes along with most, and so turns votes into a
+posterior. A linear classifier over the presence of words and word beginnings is trained on
 those posteriors and scores whole texts.
 
 The sample (`TOXIC` and `CLEAN` rows) is a documented bound; everything else reads all rows. Texts with equal words
@@ -36,7 +36,12 @@ MASK = (1 << 31) - 1
 #: share of its toxic ones at most.
 LEAST_SUPPORT, LEAST_PRECISION, STRAY = 5, 0.9, 0.015
 VOTES_EACH, MOST_VOTERS = 4, 400
-FEATURES = 1024
+#: Rates at which a voter votes in clean texts at most, alone and where its parent does.
+MOST_STRAY, BESIDE = 0.002, 0.1
+#: Counts by which a voter's rate beside its parent leans to its own rate.
+SHRINK = 5.0
+#: Features of the classifier, and of the sample among which voters are chosen.
+FEATURES, ABLE = 1024, 16_384
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 REMEMBERED = 500_000
@@ -95,26 +100,58 @@ def choose_voters(rows: list[np.ndarray], toxic: np.ndarray, width: int) -> np.n
     return np.array(chosen, dtype=np.int64)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 10) -> np.ndarray:
-    """Posterior of `toxic` for each row of votes (rows, voters; 0 or 1); start: a first posterior.
-
-    A voter that votes adds its log odds, divided by one plus its summed correlation with the others that vote.
+def dependence(both: np.ndarray, n: float) -> np.ndarray:
+    """n times the mutual information of each two voters, from how often both vote (the diagonal: each alone) in n texts."""
+    one = np.diag(both)
+    i, j = one[:, None], one[None, :]
+    out = np.zeros_like(both)
+    for seen, a, b in ((both, i, j), (i - both, i, n - j), (j - both, n - i, j), (n - i - j + both, n - i, n - j)):
+        seen = np.maximum(seen, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out += np.where(seen > 1e-12, seen * np.log(seen * n / np.maximum(a * b, 1e-300)), 0)
+    return out
+
+
+def spanning_tree(weight: np.ndarray) -> np.ndarray:
+    """Parents (-1: none) in the maximum spanning tree of a full graph; the first node is the root."""
+    parent, near, best = np.full(len(weight), -1), np.zeros(len(weight), dtype=np.int64), weight[0].copy() if len(weight) else np.zeros(0)
+    out = np.zeros(len(weight), dtype=bool)
+    for _ in range(1, len(weight)):
+        out[0] = True
+        j = int(np.where(out, -np.inf, best).argmax())
+        parent[j], out[j] = near[j], True
+        closer = weight[j] > best
+        near[closer], best[closer] = j, weight[j][closer]
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 3, stray: float = MOST_STRAY, beside: float = BESIDE) -> np.ndarray:
+    """Posterior of `toxic` for each row of votes (rows, voters; 0 or 1); start: a first posterior, such as noisy labels.
+
+    The generative model draws the label, then the votes along a tree: each voter votes with a probability that depends on
+    the label (its accuracy) and on the vote of its parent (their correlation given the label). Expectation-maximisation
+    starts at `start`, which isn't looked at again; each round estimates the tree by mutual information given the label, and its tables from
+    soft counts, which lean to the voter's own rate by SHRINK counts. In clean texts a voter votes at a rate of `stray` at most,
+    or `beside` where its parent does, as it was chosen for that; else a group of toxic texts of its own kind could pass for clean.
     """
-    silent = (votes.sum(axis=1) == 0).astype(np.float64)
-    centred = votes - votes.mean(axis=0)
-    scale = np.sqrt((centred**2).mean(axis=0)) + 1e-9
-    corr = np.abs(centred.T @ centred / len(votes) / np.outer(scale, scale))
-    np.fill_diagonal(corr, 0)
-    shared = 1 + votes @ corr  # how much the others that vote say the same
     post = start.astype(np.float64)
     for _ in range(rounds):
+        share = {1: post, 0: 1 - post}
+        both = {y: votes.T @ (votes * w[:, None]) for y, w in share.items()}
+        parent = spanning_tree(sum(dependence(both[y], max(w.sum(), 1e-9)) for y, w in share.items()))
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        base = np.log(prior / (1 - prior))
-        hit = votes.T @ post
-        accuracy = (hit + 1) / (votes.sum(axis=0) + 1.2)
-        lift = np.log(accuracy / (1 - accuracy)) - base
-        clean = (silent @ (1 - post) + 1) / (silent.sum() + 1.2)
-        logit = base + ((votes * lift) / shared).sum(axis=1) - silent * (np.log(clean / (1 - clean)) + base)
+        logit = np.full(len(votes), np.log(prior / (1 - prior)))
+        above = np.where(parent[None, :] >= 0, votes[:, parent], 0)
+        for y, w in share.items():
+            n, alone = w.sum(), np.diag(both[y])
+            rate = (alone + 0.5) / (n + 1)
+            joint, up = both[y][np.arange(len(parent)), parent], alone[parent]
+            voted = np.where(parent >= 0, (joint + SHRINK * rate) / (up + SHRINK), rate)
+            silent = np.where(parent >= 0, (alone - joint + SHRINK * rate) / (n - up + SHRINK), rate)
+            if not y:
+                voted, silent = np.minimum(voted, np.where(parent >= 0, beside, stray)), np.minimum(silent, stray)
+            p = np.clip(np.where(above > 0, voted, silent), 1e-6, 1 - 1e-6)
+            logit += (1 if y else -1) * np.where(votes > 0, np.log(p), np.log1p(-p)).sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post
 
@@ -160,7 +197,15 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Model | None:
     for i, r in enumerate(rows):
         j = place[r]
         votes[i, j[j >= 0]] = 1
-    return fit_linear(rows, label_model(votes, np.where(toxic, 0.95, 0.02)), voters, names)
+    return fit_linear(rows, label_model(votes, np.where(toxic, 0.9, 0.05)), voters, names)
+
+
+def highest(counts: DataFrame, most: int) -> DataFrame:
+    """(f) of the up to `most` features with the largest gaps, whole steps of a 4096th; where the first step holds more, by number."""
+    step = F.floor(F.col("gap") * 4096)
+    sizes = sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True)
+    least = [r["s"] for r, total in zip(sizes, np.cumsum([r["count"] for r in sizes])) if total <= most]
+    return (counts.where(step >= least[-1]) if least else counts.orderBy(F.desc("gap"), "f").limit(most)).select("f")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -180,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     counts = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("both")).where(F.col("both") >= LEAST_SUPPORT)
     able = (F.col("pos") >= LEAST_SUPPORT) & (F.col("pos") >= LEAST_PRECISION * F.col("both")) & (F.col("both") - F.col("pos") <= 1 + STRAY * F.col("pos"))
     gap = F.abs(F.col("pos") / of[1] - (F.col("both") - F.col("pos")) / of[0])
-    useful = counts.where(able).select("f").unionByName(counts.orderBy(gap.desc(), "f").limit(FEATURES).select("f")).distinct()
+    counts = cut(counts.select("f", gap.alias("gap"), able.alias("able")))
+    useful = highest(counts.where("able"), ABLE).unionByName(highest(counts, FEATURES)).distinct()
     kept = docs.sparkSession.sparkContext.broadcast(np.sort(useful.toPandas()["f"].to_numpy(np.int32)))  # features of the sample only
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
