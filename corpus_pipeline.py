@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The first four return the columns of
 `documents`; the last returns the mix, a row for each copy taken: doc_id, source, text, epoch, words, virtual_finish,
 in order of virtual finish time.
+
+Defined results: an empty table stays empty through all stages; a null text has no letter and goes in the first stage; without
+labels, or where all are alike, no document is toxic; where no document has a language all with a letter stay; an empty benchmark
+takes nothing; of rows that share id and text one stays, and rows without an id stay; other columns pass through.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from vexel.llm.common import stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text has no letter (language `und`)."""
+    """Drops documents without a letter (language `und`), and those that the kernels can't place in any language."""
     return language_id.keep_known(docs)
 
 
