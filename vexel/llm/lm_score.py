@@ -38,13 +38,13 @@ FOLDS, HELD_OUT = 10, 0
 ORDER = 5
 END = 0xFF  # not a byte of UTF-8
 SYMBOLS = 257
-FREQUENT = 200_000
+FREQUENT = 120_000
 #: Windows sent to the tasks, and windows of a shard.
-SENT, SHARD = 3_000_000, 200_000
+SENT, SHARD = 2_000_000, 200_000
 #: Distinct words and windows that a task gathers before it hands counts on, and bytes of text that it counts at a time.
-FLUSH_WORDS, FLUSH_WINDOWS, FLUSH_BYTES = 400_000, 2_000_000, 4_000_000
+FLUSH_WORDS, FLUSH_WINDOWS, FLUSH_BYTES = 400_000, 4_000_000, 4_000_000
 #: Texts whose tokens a task holds at a time, and bytes that it scores at a time (a longer text is scored whole).
-STEP, PIECE = 128, 500_000
+STEP, PIECE = 128, 130_000
 #: Bytes of the adaptive context.
 ADAPTIVE = 12
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +67,7 @@ def word_of(token: bytes) -> str:
 def window_keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, text, places) of coded texts behind ORDER ends each, and the window that ends at each place, as a number."""
     b = np.frombuffer(b"".join(bytes([END]) * ORDER + r for r in raw), dtype=np.uint8)
-    sizes = np.array([len(r) + ORDER for r in raw])
+    sizes = np.array([len(r) + ORDER for r in raw], dtype=np.int64)
     text = np.repeat(np.arange(len(raw)), sizes)
     return b, text, np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -81,11 +81,22 @@ def codes_at(b: np.ndarray) -> np.ndarray:
 
 
 def windows(raw: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of the coded texts and their counts in those that are learnt from."""
-    b, text, place = window_keys(raw)
-    inside = place[ORDER:] >= ORDER
-    key, at = np.unique(codes_at(b)[inside], return_inverse=True)
-    return key.view(np.int64), np.bincount(at, weights=np.array(learn, dtype=np.float64)[text[ORDER:][inside]], minlength=len(key)).astype(np.int64)
+    """Windows of the coded texts, and their counts in those that are learnt from; a window may stand twice, once with count 0."""
+    out = []
+    for known in (True, False):
+        b, _, place = window_keys([r for r, k in zip(raw, learn) if k == known])
+        key, n = np.unique(codes_at(b)[place[ORDER:] >= ORDER], return_counts=True)
+        out.append((key.view(np.int64), n if known else np.zeros(len(n), dtype=np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of several parts, each key once."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[start], np.add.reduceat(n, start) if len(key) else n
 
 
 def gather_counts(docs: DataFrame) -> DataFrame:
@@ -93,15 +104,17 @@ def gather_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[bytes] = Counter()
-        raw, learn, held = [], [], 0
-        key, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        raw, learn, held, parts = [], [], 0, []
 
-        def counted() -> tuple[np.ndarray, np.ndarray]:
-            more, times = windows(raw, learn)
+        def count() -> None:
+            parts.append(windows(raw, learn))
             raw.clear()
             learn.clear()
-            both, at = np.unique(np.concatenate([key, more]), return_inverse=True)
-            return both, np.bincount(at, weights=np.concatenate([n, times]), minlength=len(both)).astype(np.int64)
+
+        def out_windows() -> pd.DataFrame:
+            key, n = summed(parts)
+            parts.clear()
+            return pd.DataFrame({"word": None, "window": key, "n": n})
 
         def out_words() -> pd.DataFrame:
             out = pd.DataFrame({"word": [word_of(w) for w in words], "window": None, "n": list(words.values())})
@@ -118,18 +131,20 @@ def gather_counts(docs: DataFrame) -> DataFrame:
                 learn.append(known)
                 held += len(raw[-1])
                 if held >= FLUSH_BYTES:
-                    key, n = counted()
+                    count()
                     held = 0
-                    if len(key) >= FLUSH_WINDOWS:
-                        yield pd.DataFrame({"word": None, "window": key, "n": n})
-                        key, n = key[:0], n[:0]
+                    if sum(len(k) for k, _ in parts) >= FLUSH_WINDOWS:
+                        parts[:] = [summed(parts)]
+                        if len(parts[0][0]) >= FLUSH_WINDOWS // 2:
+                            yield out_windows()
             if len(words) >= FLUSH_WORDS:
                 yield out_words()
         if words:
             yield out_words()
         if raw:
-            key, n = counted()
-        yield pd.DataFrame({"word": None, "window": key, "n": n})
+            count()
+        if parts:
+            yield out_windows()
 
     return docs.select("text", "learn").mapInPandas(run, "word string, window long, n long").groupBy("word", "window").agg(F.sum("n").alias("n"))
 
@@ -158,8 +173,9 @@ def adapt(b: np.ndarray, piece: np.ndarray, place: np.ndarray, p: np.ndarray) ->
         h ^= h >> np.uint64(31)
         width += step
     h = h[ORDER - 1 : -1][at] ^ (piece[ORDER:][at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bucket = (h >> np.uint64(64 - 22)).astype(np.int64)
-    first_at, here = np.empty(1 << 22, dtype=np.int32), np.arange(len(h), dtype=np.int32)
+    bits = max(10, (8 * len(h)).bit_length())
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    first_at, here = np.empty(1 << bits, dtype=np.int32), np.arange(len(h), dtype=np.int32)
     first_at[bucket[::-1]] = here[::-1]  # the first of each bucket is written last
     earlier = first_at[bucket]
     again = earlier != here
@@ -330,11 +346,19 @@ def scored(b: pd.DataFrame, model: Known, logs: dict[bytes, float]) -> pd.DataFr
     for x in found:
         each = Counter(x)
         each[b""] = 1
-        rare = {w: n for w, n in each.items() if w not in logs}
-        out["n_known"].append(sum(n for w, n in each.items() if w not in rare))
-        out["base"].append(sum(n * logs[w] for w, n in each.items() if w not in rare))
-        out["rare"].append([word_of(w) for w in rare])
-        out["times"].append(list(rare.values()))
+        known, base, rare, times = 0, 0.0, [], []
+        for w, n in each.items():
+            log = logs.get(w)
+            if log is None:
+                rare.append(word_of(w))
+                times.append(n)
+            else:
+                known += n
+                base += n * log
+        out["n_known"].append(known)
+        out["base"].append(base)
+        out["rare"].append(rare)
+        out["times"].append(times)
     return pd.DataFrame(out)
 
 
@@ -380,9 +404,9 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT, id_col: str = "doc_id
     words, grams = counts.where("word is not null").select("word", "n"), counts.where("window is not null").select("window", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     below = np.log10(total["n"] + ADD * (total["v"] + 1))
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    top = {r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(frequent).toLocalIterator()}
     probs = window_scores(grams)
-    sent = spark.sparkContext.broadcast((Known(*frequent_windows(probs, sent_windows)), dict(zip(top["word"], top["n"]))))
+    sent = spark.sparkContext.broadcast((Known(*frequent_windows(probs, sent_windows)), top))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
