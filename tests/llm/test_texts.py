@@ -499,3 +499,17 @@ def test_licences(spark):
     assert sorted(got[2], key=str) == [(None, ""), (None, "MIT")]
     assert all(got[100 + i] == [(None, "")] for i in range(len(ODD)))
     assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_entire_texts_of_every_known_licence(spark, tmp_path):
+    rows = []
+    for k, t in licenses.TEXTS.items():
+        for x in licenses.variants(k, t):
+            body = x.replace("license", "licence").replace(", ", ",  ").upper()
+            rows.append((len(rows), f"Copyright (c) 2019-2021, Some Body <some@body>\nAll rights reserved.\n\n{body}\n", k, None))
+            words = x.split(" ")  # lines broken elsewhere, so that some begin with "copyright holders"
+            rows.append((len(rows), "\n".join(w.replace("\n", " ") for w in " ".join(words).replace("COPYRIGHT", "\nCOPYRIGHT").split("\n")), k, None))
+    (tmp_path / "Long-1.0.txt").write_text("The Long Licence\n\n" + " ".join(f"clause{i}" for i in range(3000)) + ".")
+    rows += [(len(rows), (tmp_path / "Long-1.0.txt").read_text(), "Long-1.0", None), (len(rows) + 1, "\n".join(f"Clause{i}" for i in range(3000)), "Long-1.0", None)]
+    got = {r.doc_id: r.license for r in licenses.scan(docs(spark, rows), licenses.read_texts(spark, str(tmp_path))).collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: k for i, _, k, _ in rows}

@@ -161,11 +161,10 @@ def op6_sql() -> str:
         for a, b in licenses.SPELLINGS:
             t = f"replace({t}, {quoted(a)}, {quoted(b)})"
         t = rf"regexp_replace({t}, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
-        drop = r"'^(copyright|©|c) .*(\d{4}|reserved|holder|author)|^all rights reserved$|^copyright$'"
+        drop = f"'{licenses.COPYRIGHT}'"
         return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {drop}))"
 
-    rows = [(k, "true", t) for k, t in licenses.TEXTS.items()] + [(k, e, n) for k, ns in licenses.NOTICES.items() for n in ns for e in ("true", "false")]
-    values = ", ".join(f"({quoted(k)}, {e}, {quoted(t)})" for k, e, t in rows)
+    values = ", ".join(f"({quoted(k)}, {str(e).lower()}, {quoted(t)})" for k, e, t in licenses.rows_known())
     return f"""
 WITH k AS (SELECT l, e, md5(array_to_string({lines('t')}, ' ')) AS h FROM (VALUES {values}) v(l, e, t)),
 w AS (SELECT h, min(l) AS license FROM k WHERE e GROUP BY h), n AS (SELECT DISTINCT h, l FROM k WHERE NOT e),
