@@ -84,3 +84,51 @@ def test_pruning_is_sound(spark):
     strings = pruning.string_stats(rows, "p", {"tag": F.col("tag")})
     assert {r.pid for r in pruning.surviving(pids, strings, "tag", pruning.may_match_string(["w99", "t1-1"])).collect()} == {1, 9}
     assert pruning.surviving(pids, strings, "no stats", pruning.may_match_string(["x"])).count() == 5
+
+
+def test_stored_index(spark, tmp_path):
+    vectors = gaussian(spark, 300, 64, seed=4).withColumns({"tag": F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b"), "score": F.col("vec_id").cast("double")})
+    vectors = spark.createDataFrame(vectors.collect())
+    fields = {"numbers": {"score": F.col("score")}, "strings": {"tag": F.col("tag")}}
+    at = str(tmp_path / "index")
+    plan.save(plan.train(vectors.where("vec_id < 200"), 6, rounds=3, **fields), at)
+    for _ in range(2):  # a batch that is added again replaces itself
+        plan.add(spark, at, vectors.where("vec_id >= 200"), "more", **fields)
+    index = plan.load(spark, at)
+    assert index.rows.count() == 300 and index.summaries.count() == 6
+    q = questions(index)
+    want = found(knn.nearest(vectors, q, 5))
+    assert found(plan.search(index, q, plan.SearchOptions(k=5))) == want
+    assert found(plan.search(index, q, plan.SearchOptions(k=5, nprobe=6, refine_k=300))) == want
+    where = (F.col("score") >= 250) & (F.col("tag") == "a")
+    prune = pruning.may("score", "ge", 250) & pruning.may("tag", "in", ["a"])
+    want = found(knn.nearest(vectors.where(where), q, 5))
+    for options in (plan.SearchOptions(k=5), plan.SearchOptions(k=5, nprobe=6, refine_k=300)):
+        assert found(plan.search(index, q, options, where, prune=prune)) == want
+    few = plan.search(index, q.limit(1), plan.SearchOptions(k=5, nprobe=1, refine=False))
+    assert "PartitionFilters: [pid" in few._jdf.queryExecution().executedPlan().toString() or "pid" in few._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert plan.search(index, q, plan.SearchOptions(k=5), prune=pruning.may("score", "gt", 1e9)).count() == 0
+
+
+def test_seeds_spread_over_groups(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((12, 8)) * 50
+    rows = [(i, (centres[i % 12] + r.standard_normal(8)).tolist()) for i in range(360)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    c = ivf.seeds(vectors, 12)
+    assert sorted({int(((centres - x) ** 2).sum(axis=1).argmin()) for x in c}) == list(range(12))
+    assert (c == ivf.seeds(vectors.repartition(3), 12)).all()
+    assert len(ivf.seeds(vectors.limit(3), 12)) <= 3 and ivf.kmeans(vectors.limit(0), 4).count() == 0
+
+
+def test_places_and_sums_in_order(spark):
+    from vexel.operators.ordered import running
+
+    rows = [(i, None if i % 3 == 0 else i % 3, i % 7, i % 5) for i in range(200)]
+    got = running(spark.createDataFrame(rows, "i int, g int, o int, x int"), ["g"], ["o", "i"], "x").collect()
+    for g in (None, 1, 2):
+        mine = sorted((r for r in got if r.g == g), key=lambda r: (r.o, r.i))
+        assert [r["__place"] for r in mine] == list(range(len(mine)))
+        assert [r["__before"] for r in mine] == [sum(x.x for x in mine[:k]) for k in range(len(mine))]

@@ -7,6 +7,8 @@ condition. Conditions combine with & and | like any Column. Fields are flat keys
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -25,23 +27,27 @@ class Payload:
     def json(self) -> Column:
         return F.try_parse_json(self.text)
 
-    def _value(self, field: str, literal) -> tuple[Column, Column]:
-        """Whether the field is of the literal's kind, and its value."""
+    def _holds(self, field: str, test) -> Column:
+        """Whether the test holds for the field's value, which is parsed once; false where there is none."""
         quote = '"' if "'" in field else "'"
         if quote in field:
             raise ValueError(f"a field name can't hold both kinds of quotes: {field}")
-        path = f"$[{quote}{field}{quote}]"
-        kind = F.schema_of_variant(F.try_variant_get(self.json, path, "variant"))
+        value = F.try_variant_get(self.json, f"$[{quote}{field}{quote}]", "variant")
+        # a one-element array binds the parsed value for all that the test asks of it
+        return F.coalesce(F.exists(F.array(value), test), F.lit(False))
+
+    @staticmethod
+    def _is(value: Column, literal, compare) -> Column:
+        """compare(value, literal) for values of the literal's kind."""
+        kind = F.schema_of_variant(value)
         if isinstance(literal, bool):
-            return kind == "BOOLEAN", F.try_variant_get(self.json, path, "boolean")
+            return (kind == "BOOLEAN") & compare(F.try_variant_get(value, "$", "boolean"), F.lit(literal))
         if isinstance(literal, (int, float)):
-            return kind.rlike(NUMBERS), F.try_variant_get(self.json, path, "double")
-        return kind == "STRING", F.try_variant_get(self.json, path, "string")
+            return kind.rlike(NUMBERS) & compare(F.try_variant_get(value, "$", "double"), F.lit(float(literal)))
+        return (kind == "STRING") & compare(F.try_variant_get(value, "$", "string"), F.lit(literal))
 
-    def _compare(self, field: str, literal, test) -> Column:
-        same, value = self._value(field, literal)
-        want = F.lit(float(literal) if isinstance(literal, (int, float)) and not isinstance(literal, bool) else literal)
-        return F.coalesce(same & test(value, want), F.lit(False))
+    def _compare(self, field: str, literal, compare) -> Column:
+        return self._holds(field, lambda v: self._is(v, literal, compare))
 
     def eq(self, field: str, literal) -> Column:
         return self._compare(field, literal, lambda v, w: v == w)
@@ -65,7 +71,4 @@ class Payload:
         """Literals may be of several kinds; none is an error."""
         if not literals:
             raise ValueError("isin needs at least one literal")
-        out = F.lit(False)
-        for x in literals:
-            out = out | self.eq(field, x)
-        return out
+        return self._holds(field, lambda v: reduce(lambda a, b: a | b, [self._is(v, x, lambda a, b: a == b) for x in literals]))

@@ -94,3 +94,10 @@ def sq8_encode(v: Column, lo: Column, hi: Column) -> Column:
 def sq8_decode(code: Column, lo: Column, hi: Column) -> Column:
     z = F.arrays_zip(code.alias("c"), lo.alias("lo"), hi.alias("hi"))
     return F.transform(z, lambda s: s["lo"] + s["c"] / F.lit(255.0) * (s["hi"] - s["lo"]))
+
+
+def sq8_near(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows of v as they come back from 8 bits."""
+    span = hi - lo
+    steps = np.where(span > 0, (v - lo) / np.where(span > 0, span, 1) * 255, 0)
+    return lo + np.floor(np.abs(steps) + 0.5) * np.sign(steps) / 255 * span

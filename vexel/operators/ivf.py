@@ -10,21 +10,25 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from vexel.functions.vectors import doubles, l2_squared
-from vexel.operators.knn import squared_distances
+from vexel.operators.knn import closest
 
-#: Centroids are sent to the tasks; there are at most this many.
-MOST_PARTITIONS = 65_536
+#: Centroids are sent to the tasks; there are at most this many, of so many bytes together.
+MOST_PARTITIONS, MOST_BYTES = 65_536, 512 << 20
+Centroids = DataFrame | tuple[np.ndarray, np.ndarray]
 
 
 def default_num_partitions(n: int) -> int:
     return 4 if n < 4 else int(min(65_536, max(4, int(n**0.5))))
 
 
-def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(pids, matrix) of (pid, centroid), at most MOST_PARTITIONS rows."""
-    rows = centroids.select("pid", doubles(F.col("centroid"))).orderBy("pid").limit(MOST_PARTITIONS + 1).collect()
-    if len(rows) > MOST_PARTITIONS:
-        raise ValueError(f"more than {MOST_PARTITIONS} centroids")
+def centroid_matrix(centroids: Centroids) -> tuple[np.ndarray, np.ndarray]:
+    """(pids, matrix) of (pid, centroid), within MOST_PARTITIONS and MOST_BYTES."""
+    if isinstance(centroids, tuple):
+        return centroids
+    size = centroids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("centroid") * 8), F.lit(0)).alias("bytes")).first()
+    if size["n"] > MOST_PARTITIONS or size["bytes"] > MOST_BYTES:
+        raise ValueError(f"more than {MOST_PARTITIONS} centroids or {MOST_BYTES} bytes")
+    rows = centroids.select("pid", doubles(F.col("centroid"))).orderBy("pid").collect()
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
 
 
@@ -36,7 +40,7 @@ def centroids_of(vectors: DataFrame, pid: str, vec_col: str = "embedding", digit
     return means.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def assign(vectors: DataFrame, centroids: Centroids, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, pid, distance): the nearest centroid of each vector, the lowest pid of equals."""
     sent = vectors.sparkSession.sparkContext.broadcast(centroid_matrix(centroids))
 
@@ -44,14 +48,13 @@ def assign(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec
         pids, c = sent.value
         for b in batches:
             if len(b):
-                d = squared_distances(c, np.array(b["v"].tolist()))
-                at = d.argmin(axis=0)
-                yield pd.DataFrame({"id": b["id"], "pid": pids[at], "distance": d[at, np.arange(len(b))]})
+                at, d = closest(np.array(b["v"].tolist()), c)
+                yield pd.DataFrame({"id": b["id"], "pid": pids[at], "distance": d})
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vec_col)).alias("v")).mapInPandas(run, "id long, pid long, distance double")
 
 
-def lloyd_step(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def lloyd_step(vectors: DataFrame, centroids: Centroids, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(pid, centroid) after one assignment and mean; sums are taken in the tasks first. Partitions without vectors are missing."""
     sent = vectors.sparkSession.sparkContext.broadcast(centroid_matrix(centroids))
 
@@ -61,11 +64,12 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
         for b in batches:
             if len(b):
                 x = np.array(b["v"].tolist())
-                at = squared_distances(c, x).argmin(axis=0)
+                at, _ = closest(x, c)
                 np.add.at(sums, at, x)
                 counts += np.bincount(at, minlength=len(c))
         full = counts > 0
-        yield pd.DataFrame({"pid": pids[full], "sums": list(sums[full]), "n": counts[full]})
+        if full.any():
+            yield pd.DataFrame({"pid": pids[full], "sums": list(sums[full]), "n": counts[full]})
 
     part = vectors.select(doubles(F.col(vec_col)).alias("v")).mapInPandas(run, "pid long, sums array<double>, n long")
     flat = part.select("pid", "n", F.posexplode("sums").alias("pos", "s")).groupBy("pid", "pos").agg((F.sum("s") / F.sum("n")).alias("m"))
@@ -78,17 +82,53 @@ def farthest(vectors: DataFrame, centroids: DataFrame, id_col: str = "vec_id", v
     return near.groupBy("pid").agg(F.max_by("id", F.struct("distance", -F.col("id"))).alias("id"), F.max("distance").alias("distance"))
 
 
+def seeds(vectors: DataFrame, k: int, rounds: int = 5, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
+    """k starting centroids by seeded D^2 sampling: a vector is drawn with a chance in proportion to its squared distance from those drawn before.
+
+    Every round draws about k / 2 vectors at once; of the 2.5 k drawn in all, weighted by the vectors nearest to each, k are
+    chosen in the same way on the driver.
+    """
+    k = min(k, MOST_PARTITIONS)
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), doubles(F.col(vec_col)).alias("embedding"))
+    chance = lambda r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "vec_id"), F.lit(1 << 40)) / float(1 << 40)
+    first = rows.orderBy(chance(0), "vec_id").limit(1).collect()
+    c = np.array([r["embedding"] for r in first])
+    if not len(c):
+        return c
+    for r in range(1, rounds + 1):
+        far = assign(rows, (np.arange(len(c)), c)).withColumnRenamed("id", "vec_id")
+        total = far.agg(F.sum("distance")).first()[0] or 0.0
+        if total <= 0:
+            break
+        drawn = far.where(chance(r) * total < F.col("distance") * max(1.0, k / 2)).select("vec_id")
+        found = drawn.join(rows, "vec_id").orderBy("vec_id").limit(2 * k).collect()
+        c = np.unique(np.concatenate([c, np.array([x["embedding"] for x in found]).reshape(-1, c.shape[1])]), axis=0)
+    weight = np.ones(len(c))
+    for r in assign(rows, (np.arange(len(c)), c)).groupBy("pid").count().collect():
+        weight[r["pid"]] = r["count"]
+    return weighted_seeds(c, weight, k, np.random.default_rng(seed))
+
+
+def weighted_seeds(c: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Up to k different rows of c, each drawn by weight times squared distance from those before."""
+    chosen, d = [int(rng.choice(len(c), p=weight / weight.sum()))], np.full(len(c), np.inf)
+    while len(chosen) < min(k, len(c)):
+        d = np.minimum(d, ((c - c[chosen[-1]]) ** 2).sum(axis=1))
+        p = d * weight
+        if p.sum() <= 0:
+            break
+        chosen.append(int(rng.choice(len(c), p=p / p.sum())))
+    return c[chosen]
+
+
 def kmeans(vectors: DataFrame, k: int, rounds: int = 20, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(pid, centroid) after up to `rounds` Lloyd steps from a seeded sample; an empty partition takes the vector farthest from its centroid.
+    """(pid, centroid) after up to `rounds` Lloyd steps from `seeds`; an empty partition takes the vector farthest from its centroid.
 
-    Only centroids (at most MOST_PARTITIONS) come to the driver.
+    Only centroids (within MOST_PARTITIONS and MOST_BYTES) come to the driver.
     """
-    spark = vectors.sparkSession
-    start = vectors.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(min(k, MOST_PARTITIONS)).select(doubles(F.col(vec_col)).alias("c")).collect()
-    c = np.array([r[0] for r in start])
-    schema = "pid long, centroid array<double>"
-    for _ in range(rounds):
-        now = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], schema)
+    c = seeds(vectors, k, seed=seed, id_col=id_col, vec_col=vec_col)
+    for _ in range(rounds if len(c) else 0):
+        now = np.arange(len(c)), c
         pids, means = centroid_matrix(lloyd_step(vectors, now, id_col, vec_col))
         moved = c.copy()
         moved[pids] = means
@@ -101,7 +141,7 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 20, seed: int = 7, id_col:
         if np.allclose(moved, c, rtol=0, atol=1e-9):
             break
         c = moved
-    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], schema)
+    return vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "pid long, centroid array<double>")
 
 
 def route(queries: DataFrame, centroids: DataFrame, nprobe: int = 0) -> DataFrame:

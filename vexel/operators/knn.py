@@ -15,12 +15,29 @@ QUERY_BLOCK = 4096
 
 
 def squared_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(queries, rows) sums of squared differences, row block by row block so that no cube is held."""
-    out = np.empty((len(q), len(x)))
-    for i, v in enumerate(q):
-        d = x - v
-        out[i] = np.einsum("ij,ij->i", d, d)
-    return out
+    """(queries, rows) squared distances by one matrix product; exact to about 1e-15 of the squared norms."""
+    return np.maximum(0, (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T))
+
+
+def slack(q: np.ndarray, x: np.ndarray) -> float:
+    """What squared_distances() can be off by."""
+    return 1e-13 * (q.shape[1] + 1) * (float((q * q).sum(axis=1).max(initial=0)) + float((x * x).sum(axis=1).max(initial=0)))
+
+
+def closest(x: np.ndarray, centres: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(place, squared distance) of the nearest centre of each row, the first of equals; `block` centres at a time."""
+    place, best_of = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    for at in range(0, len(centres), block):
+        c = centres[at : at + block]
+        d = squared_distances(x, c)
+        row, col = np.nonzero(d <= d.min(axis=1, keepdims=True) + slack(x, c))
+        exact = ((x[row] - c[col]) ** 2).sum(axis=1)
+        order = np.lexsort((col, exact, row))
+        first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
+        better = exact[first] < best_of[row[first]]
+        first = first[better]
+        best_of[row[first]], place[row[first]] = exact[first], at + col[first]
+    return place, best_of
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -38,19 +55,36 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[
 
 def best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
     """The k smallest scores of each query, ties by id; rows where the score is NaN don't count."""
-    found = []
-    for s in scores:
-        ok = np.flatnonzero(~np.isnan(s))
-        if len(ok) > k:
-            cut = np.partition(s[ok], k - 1)[k - 1]
-            ok = ok[s[ok] <= cut]
-        found.append(ok[np.lexsort((rows[ok], s[ok]))][:k])
-    sizes = [len(x) for x in found]
-    at = np.concatenate(found) if found else np.zeros(0, dtype=int)
-    query = np.repeat(np.arange(len(found)), sizes)
+    scores = np.where(np.isnan(scores), np.inf, scores)
+    if scores.shape[1] > k:
+        query, at = np.nonzero(scores <= np.partition(scores, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        query, at = (x.ravel() for x in np.indices(scores.shape))
+    found = scores[query, at]
+    order = np.lexsort((rows[at], found, query))
+    order = order[np.isfinite(found[order])]
+    query, at = query[order], at[order]
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, dtype=int)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff([*starts, len(query)]))
+    query, at = query[place < k], at[place < k]
     return pd.DataFrame({"query_id": np.asarray(ids)[query], "id": rows[at], "distance": scores[query, at]})
 
 
+def best_exact(ids: np.ndarray, q: np.ndarray, rows: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """best() by squared distances: those near enough in one matrix product are measured component by component."""
+    near = squared_distances(q, x)
+    if len(x) > k:
+        query, at = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack(q, x))
+        exact = np.full(near.shape, np.nan)
+    else:
+        query, at = (i.ravel() for i in np.indices(near.shape))
+        exact = np.empty(near.shape)
+    for i in range(0, len(query), 100_000):
+        a, b = query[i : i + 100_000], at[i : i + 100_000]
+        exact[a, b] = ((x[b] - q[a]) ** 2).sum(axis=1)
+    return best(ids, rows, exact, k)
+
+
 def ranked(candidates: DataFrame, k: int, descending: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k best of each query, ties by id."""
     d = F.col("distance").desc() if descending else F.col("distance").asc()
@@ -76,7 +110,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
             ids, q = sent.value
             for b in batches:
                 if len(b):
-                    yield best(ids, b["id"].to_numpy(), scores(q, np.array(b["v"].tolist()), metric), k)
+                    x, rows_of = np.array(b["v"].tolist()), b["id"].to_numpy()
+                    yield best_exact(ids, q, rows_of, x, k) if metric == "l2" else best(ids, rows_of, scores(q, x, metric), k)
 
         part = rows.mapInPandas(scan, "query_id long, id long, distance double")
         out = part if out is None else out.unionByName(part)
@@ -86,8 +121,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
 
 
 def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "l2":
-        return squared_distances(q, x)
     inner = q @ x.T
     if metric == "dot":
         return -inner

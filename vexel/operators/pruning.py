@@ -24,6 +24,43 @@ def string_stats(rows: DataFrame, pid: str, fields: dict[str, Column], most: int
     return few.join(kept, ["pid", "field"], "left").select("pid", "field", "values", (F.col("n") > most).alias("overflow"))
 
 
+def summary(rows: DataFrame, pid: str, numbers: dict[str, Column] | None = None, strings: dict[str, Column] | None = None) -> DataFrame:
+    """(pid, numbers, strings): a row for each partition, with maps from field to (lo, hi) and to (values, overflow)."""
+    pids = rows.select(F.col(pid).cast("long").alias("pid")).distinct()
+    if numbers:
+        n = number_stats(rows, pid, numbers).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("lo", "hi")))).alias("numbers"))
+        pids = pids.join(n, "pid", "left")
+    if strings:
+        t = string_stats(rows, pid, strings).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("values", "overflow")))).alias("strings"))
+        pids = pids.join(t, "pid", "left")
+    for name, kind, have in (("numbers", "map<string,struct<lo:double,hi:double>>", numbers), ("strings", "map<string,struct<values:array<string>,overflow:boolean>>", strings)):
+        if not have:
+            pids = pids.withColumn(name, F.lit(None).cast(kind))
+    return pids
+
+
+def merged(summaries: DataFrame) -> DataFrame:
+    """One row a partition of several summaries of it."""
+    n = summaries.select("pid", F.explode("numbers").alias("field", "s")).groupBy("pid", "field").agg(F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi"))
+    n = n.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("lo", "hi")))).alias("numbers"))
+    t = summaries.select("pid", F.explode("strings").alias("field", "s")).groupBy("pid", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("s.values", F.array().cast("array<string>")))))).alias("values"), F.max("s.overflow").alias("overflow"))
+    t = t.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("values", "overflow")))).alias("strings"))
+    return summaries.select("pid").distinct().join(n, "pid", "left").join(t, "pid", "left")
+
+
+def may(field: str, op: str, literal: float | list[str]) -> Column:
+    """Over a summary: whether a partition can hold a row with `field op literal`, op "in" for strings. Combines with & and |;
+    a partition without statistics of the field is never ruled out."""
+    if op == "in":
+        s = F.element_at("strings", field)
+        test = s["overflow"] | F.arrays_overlap(s["values"], F.array(*[F.lit(x) for x in literal]))
+    else:
+        s, x = F.element_at("numbers", field), F.lit(float(literal))
+        lo, hi = s["lo"], s["hi"]
+        test = {"eq": (lo <= x) & (x <= hi), "lt": lo < x, "le": lo <= x, "gt": hi > x, "ge": hi >= x, "ne": F.lit(True)}[op]
+    return F.coalesce(test, F.lit(True))
+
+
 def may_match_number(op: str, literal: float) -> Column:
     """Over (lo, hi): whether a partition can hold a row with `field op literal`."""
     lo, hi, x = F.col("lo"), F.col("hi"), F.lit(float(literal))

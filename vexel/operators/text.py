@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 
 from vexel.operators.fulltext import terms_of
+from vexel.operators.ordered import running
 
 
 def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,8 +22,8 @@ def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "d
 
 
 def first_occurrences(rows: DataFrame, text_col: str, order: list[str]) -> DataFrame:
-    """One row of each text, the first in order."""
-    return rows.groupBy(text_col).agg(F.min(F.struct(*order)).alias("f")).select(*[F.col(f"f.{c}").alias(c) for c in order], text_col)
+    """(h, order) of each different text: its MD5 digest, which is what is shuffled, and where it stands first."""
+    return rows.select(F.md5(text_col).alias("h"), *order).groupBy("h").agg(F.min(F.struct(*order)).alias("f")).select("h", *[F.col(f"f.{c}").alias(c) for c in order])
 
 
 def lookup(results: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shown: int = 120) -> DataFrame:
@@ -33,7 +33,8 @@ def lookup(results: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
 
 
 def running_sum(rows: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("running", F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    """Adds `running`, the sum of the value up to and with the row in its group's order."""
+    return running(rows, by, order, value).withColumn("running", F.col("__before") + F.col(value)).drop("__before", "__place")
 
 
 def hashed_embedding(docs: DataFrame, dim: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +15,7 @@ from vexel.functions.payload import Payload
 from vexel.operators import codes, fulltext, fusion, ivf, knn, metrics, pruning, text
 from vexel.plans import search as plan
 from vexel.session import table
+from vexel.shared import shared_dir
 from vexel.sources import files
 from vexel.sources.versions import VersionedTable
 
@@ -251,11 +252,9 @@ def coded(spark, sf) -> DataFrame:
     return codes.encode(turned(spark, sf), DIM)
 
 
-def pairs(spark, sf) -> DataFrame:
-    """Codes of all rows beside the codes of the queries: a stated query set against all rows."""
-    rows = coded(spark, sf)
-    ask = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("code").alias("qc"), F.col("alpha").alias("qa"), F.col("beta").alias("qb"))
-    return rows.join(ask, F.lit(True))
+def scanned(spark, sf, score) -> DataFrame:
+    """The K lowest scores of each query over the codes of all rows."""
+    return plan.scan_codes(coded(spark, sf), asked(spark, sf), codes.hadamard(DIM), K, score, digits=6)
 
 
 @query(f"WITH {E}, {H}, {R} SELECT vec_id AS id, CAST(unnest(range(64)) AS INTEGER) AS pos, round(unnest(r), 6) AS x FROM r")
@@ -273,16 +272,13 @@ def rabitq_encode(spark, sf):
 @query(f"""WITH {E}, {H}, {R}, {CODE}, p AS (SELECT b.vec_id AS query_id, a.vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] = b.bits[i] THEN 0 ELSE 1 END)) AS d FROM k a, k b WHERE b.vec_id % 20 = 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id AS id, CAST(d AS DOUBLE) AS distance FROM o WHERE rank <= 10""")
 def hamming_topk(spark, sf):
-    h = F.bit_count(F.element_at("code", 1).bitwiseXOR(F.element_at("qc", 1)))
-    return knn.ranked(pairs(spark, sf).select("query_id", "id", h.cast("double").alias("distance")), K)
+    return scanned(spark, sf, lambda q, signs, alpha, beta: (DIM - np.where(q >= 0, 1.0, -1.0) @ signs.T) / 2)
 
 
 @query(f"""WITH {E}, {H}, {R}, {CODE}, p AS (SELECT b.vec_id AS query_id, a.vec_id, round({EST}, 6) AS d FROM k a, k b WHERE b.vec_id % 20 = 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id AS id, d AS distance FROM o WHERE rank <= 10""")
 def rabitq_estimate_topk(spark, sf):
-    h = v.hamming(F.col("code"), F.col("qc"))
-    d = codes.estimate(h, F.col("qa"), F.col("qb"), F.col("alpha"), F.col("beta"), DIM)
-    return knn.ranked(pairs(spark, sf).select("query_id", "id", F.round(d, 6).alias("distance")), K)
+    return scanned(spark, sf, lambda q, signs, alpha, beta: plan.estimates(q, signs, alpha, beta, 0, False))
 
 
 def quantize_sql(bits: int) -> str:
@@ -304,30 +300,24 @@ for _bits in (1, 2, 4, 8):
     quantize_query(_bits)
 
 
-def quantized_topk(signed: bool) -> None:
-    """Estimates from 4-bit queries: signed, or with magnitudes only."""
-    sign = "CASE WHEN b.bits[i] = 1 THEN 1 ELSE -1 END *" if signed else ""
-    inner = f"list_sum(list_transform(range(1, 65), lambda i: {sign} (CASE WHEN a.bits[i] = 1 THEN 1 ELSE -1 END) * round(abs(b.r[i]) / b.t * 15.0)))"
-    sql = f"""WITH {E}, {H}, {R}, {CODE}, z AS (SELECT *, list_max(list_transform(r, lambda x: abs(x))) AS t FROM k),
-p AS (SELECT b.vec_id AS query_id, a.vec_id, round(a.alpha + b.alpha - 2 * (a.s / (sqrt(a.alpha) + 1.9)) * (b.t / 15.0) * {inner} / 64, 6) AS d FROM z a, z b WHERE b.vec_id % 20 = 0),
+def quantized_sql(bits: int, signed: bool = True) -> str:
+    """Estimates from quantized queries: signed, or with magnitudes only."""
+    sign, n = "CASE WHEN b.bits[i] = 1 THEN 1 ELSE -1 END *" if signed else "", f"{2**bits - 1}.0"
+    inner = f"list_sum(list_transform(range(1, 65), lambda i: {sign} (CASE WHEN a.bits[i] = 1 THEN 1 ELSE -1 END) * round(abs(b.r[i]) / b.t * {n})))"
+    return f"""WITH {E}, {H}, {R}, {CODE}, z AS (SELECT *, list_max(list_transform(r, lambda x: abs(x))) AS t FROM k),
+p AS (SELECT b.vec_id AS query_id, a.vec_id, round(a.alpha + b.alpha - 2 * (a.s / (sqrt(a.alpha) + 1.9)) * (b.t / {n}) * {inner} / 64, 6) AS d FROM z a, z b WHERE b.vec_id % 20 = 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id AS id, d AS distance FROM o WHERE rank <= 10"""
 
-    def run(spark, sf):
-        rows = coded(spark, sf)
-        ask = turned(spark, sf).where("id % 20 = 0").select(F.col("id").alias("query_id"), "r", codes.quantized(F.col("r"), 4).alias("z"))
-        ask = ask.select("query_id", F.aggregate(F.transform("r", lambda x: x * x), F.lit(0.0), lambda a, x: a + x).alias("qa"), F.col("z.scale").alias("scale"),
-                         F.zip_with("z.levels", "r", lambda l, x: l * F.when((x >= 0) | F.lit(not signed), 1).otherwise(-1)).alias("levels"))
-        signs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: 2 * F.getbit(F.element_at("code", 1), b) - 1)
-        inner = F.aggregate(F.zip_with(signs, "levels", lambda s, l: s * l), F.lit(0).cast("long"), lambda a, x: a + x)
-        d = F.col("alpha") + F.col("qa") - 2 * F.col("beta") * F.col("scale") * inner / DIM
-        return knn.ranked(rows.join(ask, F.lit(True)).select("query_id", "id", F.round(d, 6).alias("distance")), K)
 
-    run.__name__ = "quantized_estimate_topk" if signed else "quantized_estimate_topk_unsigned"
-    query(sql)(run)
+@query(quantized_sql(4))
+def quantized_estimate_topk(spark, sf):
+    return scanned(spark, sf, lambda q, signs, alpha, beta: plan.estimates(q, signs, alpha, beta, 4, False))
 
 
-quantized_topk(True)
-quantized_topk(False)
+@query(quantized_sql(4, signed=False))
+def quantized_estimate_topk_unsigned(spark, sf):
+    return scanned(spark, sf, lambda q, signs, alpha, beta: plan.estimates(q, signs, alpha, beta, 4, False, signed=False))
+
 
 # --- 8-bit scalar quantization ---
 
@@ -361,24 +351,29 @@ def sq8_decode_error(spark, sf):
 p AS (SELECT query_id, vec_id, round({l2_sql('v', 'q')}, 6) AS d FROM n, q), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p)
 SELECT query_id, rank, vec_id AS id, d AS distance FROM o WHERE rank <= 10""")
 def sq8_refine_topk(spark, sf):
-    rows = eight_bit(spark, sf).select("vec_id", F.col("near").alias("v")).join(asked(spark, sf), F.lit(True))
-    return knn.ranked(rows.select("query_id", F.col("vec_id").alias("id"), F.round(v.l2_squared(F.col("v"), v.doubles(F.col("q"))), 6).alias("distance")), K)
+    return knn.ranked(knn.nearest(eight_bit(spark, sf), asked(spark, sf), K + 10, vec_col="near").withColumn("distance", F.round("distance", 6)), K)
 
 
 # --- approximate search ---
 
 
-def index(spark, sf) -> plan.Index:
-    return plan.build(emb(spark, sf), means(spark, sf), codes.hadamard(DIM), scaled=False)
+def index(spark, sf, **fields) -> plan.Index:
+    return plan.build(emb(spark, sf), means(spark, sf), codes.hadamard(DIM), scaled=False, **fields)
 
 
-@query(f"""WITH {E}, {H}, {R}, {CODE}, {C}, {Q}, {ASSIGN}, {ROUTE},
-p AS (SELECT rt.query_id, a0.vec_id, {EST} AS d FROM rt JOIN a a0 USING (pid) JOIN k a ON a.vec_id = a0.vec_id JOIN k b ON b.vec_id = rt.query_id WHERE rt.rank <= 4),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS i FROM p) WHERE i <= 100),
+#: Nine of the ten partitions, and half of the rows ranked again: these vectors have no structure by label, so fewer lose recall.
+DEEP = plan.SearchOptions(k=K, nprobe=9, refine_k=100, refine_share=0.5)
+#: Partitions that hold neighbours, candidates among them by estimate, and the nearest of those.
+APPROX = f"""p AS (SELECT rt.query_id, a0.vec_id, round({EST}, 6) AS d FROM rt JOIN a a0 USING (pid) JOIN k a ON a.vec_id = a0.vec_id JOIN k b ON b.vec_id = rt.query_id WHERE rt.rank <= 9),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS i FROM p) WHERE i <= greatest(100, CAST(ceil(0.5 * (SELECT count(*) FROM e)) AS BIGINT))),
 f AS (SELECT t.query_id, t.vec_id, {l2_sql('e.v', 'q.q')} AS d FROM t JOIN e USING (vec_id) JOIN q USING (query_id)),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM f) SELECT query_id, rank, vec_id AS id, round(d, 6) AS distance FROM o WHERE rank <= 10""")
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM f)"""
+INDEXED = f"WITH {E}, {H}, {R}, {CODE}, {C}, {Q}, {ASSIGN}, {ROUTE}"
+
+
+@query(f"{INDEXED}, {APPROX} SELECT query_id, rank, vec_id AS id, round(d, 6) AS distance FROM o WHERE rank <= 10")
 def refine_topk(spark, sf):
-    return shown(plan.search(index(spark, sf), asked(spark, sf), plan.SearchOptions(k=K, nprobe=4, refine_k=100), scaled=False))
+    return shown(plan.search(index(spark, sf), asked(spark, sf), DEEP, scaled=False, digits=6))
 
 
 @query(knn_sql(l2_sql("v", "q")))
@@ -386,18 +381,67 @@ def refine_full(spark, sf):
     return shown(plan.search(index(spark, sf), asked(spark, sf), plan.SearchOptions(k=K, nprobe=0, refine_k=100), scaled=False))
 
 
-@query(f"""WITH {E}, {C}, {Q}, {ASSIGN}, {ROUTE},
-p AS (SELECT rt.query_id, a.vec_id, {l2_sql('a.v', 'rt.q')} AS d FROM rt JOIN a USING (pid) WHERE rt.rank <= 4),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p),
-g AS (SELECT q.query_id, e.vec_id, {l2_sql('e.v', 'q.q')} AS d FROM q, e), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM g),
-h AS (SELECT t.query_id, count(o.vec_id) AS hits FROM (SELECT * FROM t WHERE rank <= 10) t LEFT JOIN (SELECT * FROM o WHERE rank <= 10) o ON o.query_id = t.query_id AND o.vec_id = t.vec_id GROUP BY t.query_id)
+@query(f"""{INDEXED}, {APPROX},
+g AS (SELECT q.query_id, e.vec_id, {l2_sql('e.v', 'q.q')} AS d FROM q, e), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM g),
+h AS (SELECT w.query_id, count(o.vec_id) AS hits FROM (SELECT * FROM w WHERE rank <= 10) w LEFT JOIN (SELECT * FROM o WHERE rank <= 10) o ON o.query_id = w.query_id AND o.vec_id = w.vec_id GROUP BY w.query_id)
 SELECT query_id, hits, round(hits / 10.0, 6) AS recall FROM h""")
 def recall_at_k(spark, sf):
-    deep = plan.SearchOptions(k=K, nprobe=4, refine_k=1_000_000)  # all rows of four partitions
-    found = plan.search(index(spark, sf), asked(spark, sf), deep, scaled=False)
+    found = plan.search(index(spark, sf), asked(spark, sf), DEEP, scaled=False, digits=6)
     return metrics.recall(found, knn.nearest(emb(spark, sf), asked(spark, sf), K), K).withColumn("recall", F.round("recall", 6))
 
 
+def search_bits(bits: int) -> None:
+    """Quantized queries over all partitions, without re-ranking."""
+
+    def run(spark, sf):
+        options = plan.SearchOptions(k=K, refine=False, query_bits=bits)
+        return plan.search(index(spark, sf), asked(spark, sf), options, scaled=False, digits=6)
+
+    run.__name__ = f"search_bits_{bits}"
+    query(quantized_sql(bits))(run)
+
+
+for _bits in (1, 2, 4, 8):
+    search_bits(_bits)
+
+
+@query(f"""{INDEXED}, p AS (SELECT rt.query_id, a0.vec_id, round({EST}, 6) AS d FROM rt JOIN a a0 USING (pid) JOIN k a ON a.vec_id = a0.vec_id JOIN k b ON b.vec_id = rt.query_id WHERE rt.rank <= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id AS id, d AS distance FROM o WHERE rank <= 10""")
+def search_unrefined(spark, sf):
+    return plan.search(index(spark, sf), asked(spark, sf), plan.SearchOptions(k=K, nprobe=3, refine=False), scaled=False, digits=6)
+
+
+@query(f"""WITH {E}, {C}, {Q}, {ASSIGN}, s AS (SELECT pid, pos, min(x) AS lo, max(x) AS hi FROM (SELECT pid, unnest(v) AS x, unnest(range(64)) AS pos FROM a) GROUP BY ALL),
+x AS (SELECT vec_id, pos, lo, hi, CASE WHEN hi > lo THEN round((v[pos + 1] - lo) / (hi - lo) * 255) ELSE 0 END AS code FROM a JOIN s USING (pid)),
+n AS (SELECT vec_id, list(lo + code / 255.0 * (hi - lo) ORDER BY pos) AS v FROM x GROUP BY vec_id),
+p AS (SELECT query_id, vec_id, {l2_sql('v', 'q')} AS d FROM n, q), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p)
+SELECT query_id, rank, vec_id AS id, round(d, 6) AS distance FROM o WHERE rank <= 10""")
+def search_sq8(spark, sf):
+    """Every row is a candidate and is ranked by its 8-bit vector."""
+    return shown(plan.search(index(spark, sf), asked(spark, sf), plan.SearchOptions(k=K, refine_share=1.0, sq8_refine=True), scaled=False, digits=6))
+
+
+@query(f"""WITH {E}, {C}, {Q}, {ASSIGN}, p AS (SELECT query_id, vec_id, {l2_sql('v', 'q')} AS d FROM a, q WHERE vec_id >= 100 AND label IN (1, 3) OR vec_id < 50),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id AS id, round(d, 6) AS distance FROM o WHERE rank <= 10""")
+def search_pruned(spark, sf):
+    """A condition on rows, and the same one over the statistics of a stored index, which may rule partitions out."""
+    path = f"{scratch(spark)}/index"
+    fields = {"numbers": {"vec_id": F.col("vec_id")}, "strings": {"label": F.col("label")}}
+    rows = emb(spark, sf)
+    plan.save(plan.build(rows.where("vec_id % 3 <> 0"), means(spark, sf), codes.hadamard(DIM), scaled=False, **fields), path)
+    plan.add(spark, path, rows.where("vec_id % 3 = 0"), "1", scaled=False, **fields)
+    where = (F.col("vec_id") >= 100) & F.col("label").isin(1, 3) | (F.col("vec_id") < 50)
+    prune = pruning.may("vec_id", "ge", 100) & pruning.may("label", "in", ["1", "3"]) | pruning.may("vec_id", "lt", 50)
+    return shown(plan.search(plan.load(spark, path), asked(spark, sf), plan.SearchOptions(k=K), where, scaled=False, prune=prune))
+
+
+@query(f"""WITH {E}, {Q}, d AS (SELECT vec_id % 7 AS pid, min(vec_id) AS lo, max(vec_id) AS hi, list_sort(list(DISTINCT CAST(label AS VARCHAR))) AS labels FROM e GROUP BY 1)
+SELECT CAST(pid AS BIGINT) AS pid FROM d WHERE hi >= 490 AND list_has_any(labels, ['1', '3']) OR lo < 2""")
+def prune_and_or(spark, sf):
+    s = pruning.summary(emb(spark, sf).withColumn("p", F.col("vec_id") % 7), "p", {"vec_id": F.col("vec_id")}, {"label": F.col("label")})
+    return s.where(pruning.may("vec_id", "ge", 490) & pruning.may("label", "in", ["1", "3"]) | pruning.may("vec_id", "lt", 2)).select("pid")
+
+
 # --- statistics and pruning ---
 
 
@@ -431,6 +475,12 @@ def latency_percentiles(spark, sf):
     return metrics.rank_percentiles(table(spark, sf, "events"), "value", ["event_type"], {"p50": 50, "p99": 99})
 
 
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.99), 9) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles_interpolated(spark, sf):
+    p = metrics.interpolated_percentiles(table(spark, sf, "events"), "value", ["event_type"], {"p50": 50, "p99": 99})
+    return p.select("event_type", F.round("p50", 9).alias("p50"), F.round("p99", 9).alias("p99"))
+
+
 @query("""WITH r AS (SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS DOUBLE) AS d FROM events)
 SELECT event_type, round(1 - 6 * sum(d * d) / (CAST(count(*) AS DOUBLE) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 6) AS rho FROM r GROUP BY event_type""")
 def spearman(spark, sf):
@@ -486,17 +536,35 @@ def fulltext_and_filter(spark, sf):
     return fusion.top(found.withColumn("score", F.round("score", 6)), 20)
 
 
-@query(f"""WITH {E}, {BM}, a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, round({l2_sql('v', 'z')}, 6) AS d FROM e, (SELECT v AS z FROM e WHERE vec_id = 0))),
+@query(f"""WITH {E}, {Q}, {BM}, a AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM (SELECT query_id, vec_id, {l2_sql('v', 'q')} AS d FROM e, q)),
 b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm WHERE lang = 'en'),
-u AS (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT * FROM b WHERE rank <= 50) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM u GROUP BY id ORDER BY 2 DESC, 1 LIMIT 20""")
+u AS (SELECT * FROM a WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM b, q WHERE rank <= 50),
+g AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM u GROUP BY query_id, id)
+SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM g) WHERE place <= 20""")
 def hybrid_three_way(spark, sf):
-    """Vector search, full text and a condition, fused: vectors and documents share ids."""
-    one = emb(spark, sf).where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = shown(knn.nearest(emb(spark, sf), one, 50)).orderBy("distance", "id").select("id", "rank")
-    docs = table(spark, sf, "documents")
-    words = fulltext.bm25(docs, TERMS).join(docs.where("lang = 'en'").select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("score", F.round("score", 6))
+    """Vector search, full text and a condition, fused for each query: vectors and documents share ids."""
+    near = knn.nearest(emb(spark, sf), asked(spark, sf), 50).select("query_id", "id", "rank")
+    words = fulltext.bm25(table(spark, sf, "documents").where("lang = 'en'"), TERMS, stats=fulltext.statistics(table(spark, sf, "documents"), TERMS)).withColumn("score", F.round("score", 6))
     words = words.orderBy(F.desc("score"), "id").limit(50).select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).cast("long").alias("rank"))
-    return fusion.top(fusion.reciprocal_rank(near.unionByName(words)).withColumn("score", F.round("score", 6)), 20)
+    words = asked(spark, sf).select("query_id").join(F.broadcast(words), F.lit(True))  # the same 50 beside each query
+    fused = fusion.reciprocal_rank(near.unionByName(words), by=("query_id",)).withColumn("score", F.round("score", 6))
+    return fusion.with_rank(fused, ["query_id"], [F.desc("score"), "id"]).where("rank <= 20").select("query_id", "id", "score")
+
+
+@query(f"WITH {BM} SELECT doc_id AS id, round(score, 6) AS score FROM bm")
+def bm25_stored(spark, sf):
+    """The same from a stored index of terms."""
+    path = f"{scratch(spark)}/terms"
+    fulltext.save_index(table(spark, sf, "documents"), path)
+    return fulltext.bm25_from(fulltext.load_index(spark, path), TERMS).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {BM}, n3 AS (SELECT doc_id FROM t WHERE tf > 0 AND term IN ('and', 'the') GROUP BY doc_id HAVING count(*) = 2), o AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM t JOIN df USING (term), s WHERE term IN ('and', 'the') GROUP BY doc_id) SELECT doc_id AS id, round(score, 6) AS score FROM o JOIN n3 USING (doc_id)")
+def bm25_all_terms(spark, sf):
+    """Documents that hold every term."""
+    path = f"{scratch(spark)}/terms"
+    fulltext.save_index(table(spark, sf, "documents"), path)
+    return fulltext.bm25_from(fulltext.load_index(spark, path), ["and", "the"], every=True).withColumn("score", F.round("score", 6))
 
 
 # --- texts ---
@@ -511,7 +579,7 @@ def text_chunks(spark, sf):
 
 @query(f"WITH {CH} SELECT md5(chunk) AS h, min((doc_id, pos))[1] AS id, CAST(min((doc_id, pos))[2] AS INTEGER) AS pos FROM c WHERE chunk <> '' GROUP BY chunk")
 def chunk_dedupe(spark, sf):
-    return text.first_occurrences(text.chunks(table(spark, sf, "documents")), "chunk", ["id", "pos"]).select(F.md5("chunk").alias("h"), "id", "pos")
+    return text.first_occurrences(text.chunks(table(spark, sf, "documents")), "chunk", ["id", "pos"])
 
 
 @query()
@@ -529,10 +597,10 @@ def results_json(spark, sf):
     return packed.select("query_id", F.size(back).cast("long").alias("n"), F.element_at(back, 1)["id"].alias("first"))
 
 
-@query("SELECT e.vec_id AS id, md5(translate(substr(text, 1, 120), chr(13) || chr(10), '  ')) AS h FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.label = 3")
+@query("SELECT query_id, rank, id, md5(translate(substr(text, 1, 120), chr(13) || chr(10), '  ')) AS h FROM (" + knn_sql(l2_sql("v", "q")) + ") LEFT JOIN documents d ON d.doc_id = id")
 def result_text_lookup(spark, sf):
-    found = emb(spark, sf).where("label = 3").select(F.col("vec_id").alias("id"))
-    return text.lookup(found, table(spark, sf, "documents")).select("id", F.md5("snippet").alias("h"))
+    found = knn.nearest(emb(spark, sf), asked(spark, sf), K).select("query_id", "rank", "id")
+    return text.lookup(found, table(spark, sf, "documents")).select("query_id", "rank", "id", F.md5("snippet").alias("h"))
 
 
 # --- the table itself ---
@@ -557,13 +625,15 @@ def db_stats(spark, sf):
 
 @query(f"WITH {E} SELECT vec_id, len(v) AS n, round(list_sum(v), 6) AS total FROM e")
 def export_vectors(spark, sf):
-    x = v.doubles(F.col("embedding"))
-    return emb(spark, sf).select("vec_id", F.size(x).cast("long").alias("n"), F.round(v.total(x), 6).alias("total"))
+    """Vectors as JSON lines in order of their ids, read back."""
+    lines = emb(spark, sf).orderBy("vec_id").select(F.to_json(F.struct("vec_id", F.col("embedding").alias("vector"))).alias("line"))
+    x = F.from_json("line", "vec_id bigint, vector array<double>")
+    return lines.select(x.alias("x")).select("x.vec_id", F.size("x.vector").cast("long").alias("n"), F.round(v.total(F.col("x.vector")), 6).alias("total"))
 
 
 def scratch(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/vexel-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/vexel-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 @query()

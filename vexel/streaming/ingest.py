@@ -1,4 +1,4 @@
-"""Streaming ingest: new vectors are assigned to partitions and appended to the index table."""
+"""Streaming ingest: new vectors are assigned to partitions, encoded and added to a stored index."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from vexel.operators import ivf
+from vexel.plans import search
 
 
-def ingest(stream: DataFrame, centroids: DataFrame, path: str, checkpoint: str, id_col: str = "vec_id", vec_col: str = "embedding") -> StreamingQuery:
-    """Appends each micro-batch, with its partition, to a Parquet table partitioned by pid; runs until the input is read."""
+def ingest(stream: DataFrame, path: str, checkpoint: str, id_col: str = "vec_id", vec_col: str = "embedding", **fields) -> StreamingQuery:
+    """Adds each micro-batch to the index at `path` as a batch of its number, so a repeated micro-batch replaces itself; runs until the input is read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        near = ivf.assign(batch, centroids, id_col, vec_col).select(F.col("id").alias(id_col), "pid")
-        batch.join(near, id_col).withColumn("batch", F.lit(number)).repartition("pid").write.mode("append").partitionBy("pid").parquet(path)
+        search.add(batch.sparkSession, path, batch, f"stream-{number}", id_col, vec_col, **fields)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
