@@ -80,7 +80,7 @@ def test_a_template_costs_no_quadratic_work(spark):
     pairs = {jj.bands_for(): None}
     k, bands = next(iter(pairs))
     signed = jj.signatures(docs(spark, rows), "doc_id", 5, k, bands).cache()
-    links = jj.candidate_links(signed, jj.least_agreeing(k * bands, 0.8, jj.MISS), bucket=64).cache()
+    links = jj.candidate_links(signed, jj.least_agreeing(k * bands, 0.8, jj.MISS), bucket=64, refined=64).cache()
     assert links.agg({"compared": "sum"}).first()[0] < 4000**2 / 2 / 10
     node = {r.id: bytes(r.node) for r in signed.select("id", "node").collect()}
     groups = {bytes(r.node): bytes(r.component) for r in graph.connected_components(links.where("u is not null").select("u", "v")).collect()}
@@ -91,7 +91,7 @@ def test_a_template_costs_no_quadratic_work(spark):
 
 def test_refined_buckets_lose_no_links(spark, monkeypatch):
     for bucket, depth in ((2, 2), (3, 4)):
-        monkeypatch.setattr(jj.candidate_links, "__defaults__", (bucket, depth))
+        monkeypatch.setattr(jj.candidate_links, "__defaults__", (bucket, bucket, depth))
         rows = made(4, groups=5, most=20)
         assert sorted((r.doc_id, r.class_id, r.n_links) for r in jj.near_duplicates(docs(spark, rows)).collect()) == brute(rows)
 

@@ -7,8 +7,8 @@ copies are never paired with each other.
 Each node's MinHash signature is cut into bands. Rows and bands are the pair that misses at most `miss` of the pairs
 at the threshold with the fewest hashes times bands (6 rows and 36 bands for 0.8 and 2e-5). Nodes are shuffled by band
 hash. Within a bucket, signatures (a byte of each hash) are compared, and two nodes are linked where they agree on no fewer
-hashes than a pair at the threshold does but for `miss`; buckets with the same nodes are compared once. A bucket of more than
-`bucket` nodes is refined: its nodes are dealt by each of the other bands again, so a pair in it still meets with the same
+hashes than a pair at the threshold does but for `miss`. A bucket of more than
+`bucket` nodes (`REFINED` once it is refined) is refined: its nodes are dealt by each of the other bands again, so a pair in it still meets with the same
 probability, and pages on one template, similar but not enough, part. Where a bucket's nodes are mostly similar to its first one,
 or after DEPTH bands, they are linked without comparison.
 
@@ -41,8 +41,8 @@ from vexel.shared import join_small
 SHINGLE = 5
 THRESHOLD = 0.8
 MISS = 2e-5
-#: Nodes of a bucket that are compared with each other, bands that refine a larger one at most, and rows compared at once.
-BUCKET, DEPTH, ROWS = 192, 4, 20_000
+#: Nodes of a bucket of one band, and of more bands, that are compared with each other; bands at most; rows compared at once.
+BUCKET, REFINED, DEPTH, ROWS = 1024, 8192, 3, 20_000
 #: Word hashes that a task remembers.
 REMEMBERED = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -194,22 +194,24 @@ def alike_buckets(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame
     return beside.select("key", "sketch", "other").mapInPandas(run, "key long, near double").groupBy("key").agg(F.avg("near").alias("near")).where("near >= 0.5").select("key")
 
 
-def candidate_links(nodes: DataFrame, least: int, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+def candidate_links(nodes: DataFrame, least: int, bucket: int = BUCKET, refined: int = REFINED, depth: int = DEPTH) -> DataFrame:
     """(u, v, compared) of nodes (node, bands, sketch)."""
     sketches, out = nodes.select("node", "sketch"), []
     keyed = nodes.select("node", F.explode("bands").alias("key")).withColumn("used", F.array("key"))
     for level in range(depth):
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("held"))
-        sizes = cut(sizes.where("n > 1"))
-        small = sizes.where(F.col("n") <= bucket).groupBy("n", "held", "first").agg(F.min("key").alias("key")).select("key")  # the same nodes: once
-        out.append(cut(bucket_links(keyed.select("node", "key").join(small, "key").join(sketches, "node"), least)))
-        large = sizes.where(F.col("n") > bucket).select("key", "first")
+        limit, last = refined if level else bucket, level + 1 == depth
+        sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"))
+        rows = cut(keyed.join(sizes, "key"))
+        out.append(cut(bucket_links(rows.where(F.col("n") <= limit).select("node", "key").join(sketches, "node"), least)))
+        large = sizes.where(F.col("n") > limit).select("key", "first")
         if large.isEmpty():
             break
-        rows = cut(join_small(keyed, large, ["key"]))
-        alike = large.select("key") if level + 1 == depth else cut(alike_buckets(rows, sketches, least))
-        chained = join_small(rows, alike, ["key"], "left_semi").where("node <> first")
+        rows = rows.where(F.col("n") > limit)
+        alike = large.select("key") if last else cut(alike_buckets(rows, sketches, least))
+        chained = (rows if last else join_small(rows, alike, ["key"], "left_semi")).where("node <> first")
         out.append(chained.select(F.col("node").alias("u"), F.col("first").alias("v"), F.lit(0).cast("long").alias("compared")))
+        if last:
+            break
         spread = join_small(rows, alike, ["key"], "left_anti").select("node", "used")
         more = spread.join(nodes.select("node", F.explode("bands").alias("band")), "node").where(~F.array_contains("used", F.col("band")))
         more = more.select("node", F.array_sort(F.array_append("used", F.col("band"))).alias("used"))  # the same whichever band came first
