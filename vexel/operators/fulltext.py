@@ -24,7 +24,11 @@ def counted(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col:
     words = terms_of(F.col(text_col))
     # explode of one array keeps the words a column of their own, so that they aren't extracted again for each term
     df = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(words)).alias("w"))
-    return df.select("id", F.size("w").cast("double").alias("dl"), F.array(*[F.size(F.filter("w", lambda x, t=t: x == t)).cast("double") for t in terms]).alias("tf"))
+
+    def count_of(term: str) -> Column:
+        return F.size(F.filter("w", lambda x: x == term)).cast("double")
+
+    return df.select("id", F.size("w").cast("double").alias("dl"), F.array(*[count_of(t) for t in terms]).alias("tf"))
 
 
 def statistics(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:

@@ -383,8 +383,8 @@ def refine_full(spark, sf):
 
 @query(f"""{INDEXED}, {APPROX},
 g AS (SELECT q.query_id, e.vec_id, {l2_sql('e.v', 'q.q')} AS d FROM q, e), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM g),
-h AS (SELECT w.query_id, count(o.vec_id) AS hits FROM (SELECT * FROM w WHERE rank <= 10) w LEFT JOIN (SELECT * FROM o WHERE rank <= 10) o ON o.query_id = w.query_id AND o.vec_id = w.vec_id GROUP BY w.query_id)
-SELECT query_id, hits, round(hits / 10.0, 6) AS recall FROM h""")
+hs AS (SELECT w.query_id, count(o.vec_id) AS hits FROM (SELECT * FROM w WHERE rank <= 10) w LEFT JOIN (SELECT * FROM o WHERE rank <= 10) o ON o.query_id = w.query_id AND o.vec_id = w.vec_id GROUP BY w.query_id)
+SELECT query_id, hits, round(hits / 10.0, 6) AS recall FROM hs""")
 def recall_at_k(spark, sf):
     found = plan.search(index(spark, sf), asked(spark, sf), DEEP, scaled=False, digits=6)
     return metrics.recall(found, knn.nearest(emb(spark, sf), asked(spark, sf), K), K).withColumn("recall", F.round("recall", 6))
@@ -626,7 +626,7 @@ def db_stats(spark, sf):
 @query(f"WITH {E} SELECT vec_id, len(v) AS n, round(list_sum(v), 6) AS total FROM e")
 def export_vectors(spark, sf):
     """Vectors as JSON lines in order of their ids, read back."""
-    lines = emb(spark, sf).orderBy("vec_id").select(F.to_json(F.struct("vec_id", F.col("embedding").alias("vector"))).alias("line"))
+    lines = emb(spark, sf).orderBy("vec_id").select(F.to_json(F.struct("vec_id", v.doubles(F.col("embedding")).alias("vector"))).alias("line"))
     x = F.from_json("line", "vec_id bigint, vector array<double>")
     return lines.select(x.alias("x")).select("x.vec_id", F.size("x.vector").cast("long").alias("n"), F.round(v.total(F.col("x.vector")), 6).alias("total"))
 
