@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -84,6 +85,46 @@ def test_trees_find_main_text_in_unseen_layouts(trees):
     assert right / total > 0.99
 
 
+class Marked(HTMLParser):
+    """The words inside data-main="1" and outside data-main="0", by another parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in hx.VOID:
+            return
+        if tag in hx.BLOCKS and any(t == "p" for t, _ in self.open):
+            self.handle_endtag("p")
+        mark = dict(attrs).get("data-main")
+        self.open.append((tag, mark if mark is not None else self.open[-1][1] if self.open else "0"))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        if self.open and self.open[-1][1] == "1":
+            self.words += data.split()
+
+
+def test_main_text_equals_that_of_another_parser(trees):
+    r, same, pages_ = random.Random(78), 0, 120
+    for _ in range(pages_):
+        page = hx.training_page(r)
+        nodes = hx.parse(page)
+        texts = [hx.block_text(n) for n in nodes]
+        marked = Marked()
+        marked.feed(page)
+        wanted = [w for t, y in zip(texts, hx.labels_of(nodes)) if y for w in t.split()]
+        assert "".join(wanted) == "".join(marked.words)
+        same += "".join(hx.main_text(nodes, texts, trees.log_odds(hx.features(nodes, texts))).split()) == "".join(marked.words)
+    assert same / pages_ > 0.9
+
+
 def test_decoding_is_the_best_monotone_choice():
     r = random.Random(4)
     for _ in range(60):
